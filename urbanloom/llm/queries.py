@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urbanloom.llm import bpe, decontam
+from urbanloom.llm import bpe, decontam, quality, rules, secrets
 from urbanloom.session import load
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -22,12 +22,28 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(load(spark, sf_dir, "documents"), *vocabulary()))
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(load(spark, sf_dir, "documents"), redacting=False))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.verdicts(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.verdicts(decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")))
 
 
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_secret_scans": op4_secret_scans,
+    "op5_quality_rules": op5_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
     "op7_decontamination": op7_decontamination,
 }
 
