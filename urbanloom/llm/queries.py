@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urbanloom.llm import bpe, decontam, quality, rules, secrets
+from urbanloom.llm import bpe, decontam, minhash, quality, rules, secrets
 from urbanloom.session import load
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -18,6 +18,10 @@ def vocabulary(name: str = VOCABULARY) -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=4)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(load(spark, sf_dir, "documents"), *vocabulary()))
 
@@ -40,6 +44,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scans": op4_secret_scans,
     "op5_quality_rules": op5_quality_rules,
