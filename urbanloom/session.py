@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "_urbanloom_shipped"
+#: Bytes of an Arrow batch that goes to a Python worker, however long its rows are.
+ARROW_BYTES = 16 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Sends this package's code to the executors once per context, so Python operators import it there."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if getattr(sc, _SHIPPED, False):
         return
     root = Path(__file__).resolve().parent
