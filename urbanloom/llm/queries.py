@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urbanloom.llm import bpe, decontam, minhash, quality, rules, secrets
+from urbanloom.llm import bpe, decontam, minhash, quality, rules, secrets, suffix
 from urbanloom.session import load
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -43,7 +43,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.verdicts(decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.remove_repeats(load(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op10_suffix_array": op10_suffix_array,
     "op1_minhash": op1_minhash,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scans": op4_secret_scans,
