@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urbanloom.llm import bpe, decontam, minhash, quality, rules, secrets, suffix
+from urbanloom.llm import bpe, decontam, minhash, quality, rules, secrets, suffix, warc
 from urbanloom.session import load
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -47,7 +47,12 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(suffix.remove_repeats(load(spark, sf_dir, "documents")))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(load(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op8_warc": op8_warc,
     "op10_suffix_array": op10_suffix_array,
     "op1_minhash": op1_minhash,
     "op3_byte_bpe": op3_byte_bpe,
