@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanloom.llm import bpe, chat, decontam, minhash, quality, rules, secrets, suffix, warc
+from urbanloom.llm import bpe, chat, decontam, minhash, quality, rules, secrets, suffix, toxicity, warc
 from urbanloom.session import load
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -59,7 +59,12 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chat(chat.canonical_turns(rows.unionByName(planted))))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op6_chat_formatting": op6_chat_formatting,
     "op8_warc": op8_warc,
     "op10_suffix_array": op10_suffix_array,
