@@ -1,10 +1,6 @@
 """Registry of the analytics queries: name -> callable(spark, sf_dir), and the SQL that each must equal."""
 
-from __future__ import annotations
+from urbanloom.plans import statistics  # noqa: F401
+from urbanloom.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
