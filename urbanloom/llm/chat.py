@@ -77,8 +77,8 @@ def turns_of_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     out = F.lit(None).cast(TURNS)
     for key, m in _BY_PRINT.items():
         if m["kind"] == "list":
-            items = F.try_variant_get("_v", f"$.{m['list']}", f"array<struct<`{m['role']}`:string,`{m['text']}`:string>>")
-            found = F.transform(F.coalesce(items, F.expr(f"cast(array() as array<struct<`{m['role']}`:string,`{m['text']}`:string>>)")), lambda x, m=m: F.struct(_role(x[m["role"]]).alias("role"), F.coalesce(x[m["text"]], F.lit("")).alias("text")))
+            kind = f"array<struct<`{m['role']}`:string,`{m['text']}`:string>>"
+            found = _listed(F.coalesce(F.try_variant_get("_v", f"$.{m['list']}", kind), F.expr(f"cast(array() as {kind})")), m)
         elif m["kind"] == "fields":
             found = _fields(m, lambda f: F.try_variant_get("_v", f"$.{f}", "string"))
         else:
@@ -87,6 +87,10 @@ def turns_of_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return rows.select(id_col, "fingerprint", out.alias("turns"))
 
 
+def _listed(items: Column, m: dict) -> Column:
+    return F.transform(items, lambda x: F.struct(_role(x[m["role"]]).alias("role"), F.coalesce(x[m["text"]], F.lit("")).alias("text")))
+
+
 def _fields(m: dict, get) -> Column:
     turns = [F.struct(F.lit(role).alias("role"), F.coalesce(get(f), F.lit("")).alias("text")) for role, f in m["turns"]]
     kept = [F.when(t["text"] != "", t) if f in m.get("optional", ()) else t for t, (_, f) in zip(turns, m["turns"])]
@@ -108,7 +112,7 @@ def canonical_turns(df: DataFrame, id_col: str | None = None) -> DataFrame:
         rows = df.select(F.col(m["key"]).alias("conv_id"), F.col(m["order"]).alias("_o"), F.coalesce(F.col(m["role"]), F.lit("")).alias("role"), F.coalesce(F.col(m["text"]), F.lit("")).alias("text"))
         return rows.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("_o", "role", "text")).alias("pos"), "role", "text")
     if m["kind"] == "list":
-        turns = F.transform(F.col(m["list"]), lambda x: F.struct(_role(x[m["role"]]).alias("role"), F.coalesce(x[m["text"]], F.lit("")).alias("text")))
+        turns = _listed(F.col(m["list"]), m)
     else:
         turns = _fields(m, F.col)
     key = F.col(id_col) if id_col else F.monotonically_increasing_id()
