@@ -67,11 +67,11 @@ def test_gapped_insults_and_edge_cases(spark):
     rng = np.random.default_rng(3)
     plain = ["".join(rng.choice(list("aelnrsu"), 5)) for _ in range(300)]
     clean = [" ".join(rng.choice(plain, 40)) for _ in range(200)]
-    toxic = [c + " " + " ".join(rng.choice(["blockhead", "dimwit", "wretch"], 3)) for c in clean[:60]]
+    toxic = [c + ". " + " ".join(f"You {w}." for w in rng.choice(["blockhead", "dimwit", "wretch"], 3)) for c in clean[:60]]
     model = toxicity.train(pa.array(clean + toxic), np.array([0] * 200 + [1] * 60))
 
     def p(t):
-        return float(model.probability(model.best(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), {}))[0])
+        return float(model.probability(model.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), {}))[0])
 
     assert p(clean[100]) < 0.1 and p("you d i m w i t there") > 0.5 and p("what a block-head") > 0.5
     assert p("blocxkhead") > p(clean[101]) + 0.1 and p("") < 0.1

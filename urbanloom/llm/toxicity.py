@@ -5,12 +5,13 @@ spans in either word, so gapped insults and inserted characters lower the simila
 without white space, lower-cased, marks inside them dropped; runs of single characters ("i d i o t") are one word
 more. Labels are of documents: sentences of toxic ones are labelled by their words' four-grams that clean ones lack,
 and the machine learns to tell those words (and spoilt copies of them) from the words of clean sentences. A document
-scores by its most toxic word, through a logistic curve fitted on the training documents.
+scores by its most toxic words and their number, through a logistic curve fitted on the training documents.
 """
 
 from __future__ import annotations
 
 import pickle
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ DECAY, LENGTH, LONGEST, LANDMARK_LONGEST = 0.7, 3, 14, 9
 #: A word is compared if it has this share of some toxic landmark's neighbouring characters in their order, REACH
 #: places apart at most; others score FLOOR.
 SHARED, REACH, FLOOR = 0.6, 3, -2.0
+#: Word scores above which words are counted, and the number of a document's features.
+LEVELS, FEATURES = (0.3, 0.6, 0.9), 7
 #: Word scores kept by a Python worker (memory only).
 KEPT = 400_000
 
@@ -126,9 +129,9 @@ def kernel(x: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Landmarks and the machine's weights on the kernel with them; the curve from word score to probability."""
+    """Landmarks and the machine's weights on the kernel with them; the curve from word scores to probability."""
 
-    def __init__(self, landmarks: list[bytes], toxic: list[bytes], beta: np.ndarray, bias: float, slope: float, shift: float):
+    def __init__(self, landmarks: list[bytes], toxic: list[bytes], beta: np.ndarray, bias: float, slope: np.ndarray, shift: float):
         self.rows, self.beta, self.bias, self.slope, self.shift = rows_of(landmarks), beta, bias, slope, shift
         # a bit for each pair of neighbours in a toxic landmark, in words of 64 bits by landmark
         pairs = [sorted({(int(_CODE[x]), int(_CODE[y])) for x, y in zip(t, t[1:])}) for t in toxic]
@@ -187,18 +190,32 @@ class Model:
         out[wanted] = got[inverse]
         return out
 
-    def best(self, data: np.ndarray, offs: np.ndarray, known: dict[int, float]) -> np.ndarray:
-        """The highest word score of each row."""
-        out = np.full(len(offs) - 1, FLOOR, np.float32)
+    def features(self, data: np.ndarray, offs: np.ndarray, known: dict[int, float]) -> np.ndarray:
+        """For each row its three highest word scores (clipped), the logarithms of how many words score above each of
+        LEVELS, and the share of the middle one in all words."""
+        rows = len(offs) - 1
+        out = np.zeros((rows, FEATURES))
+        out[:, :3] = -0.5
         kept, a, b, row = words(data, offs)
-        if len(a):
-            # each distinct word once
-            _, first, inverse = np.unique(K.span_hash(K.prefix_hash(kept), a, b), return_index=True, return_inverse=True)
-            np.maximum.at(out, row, self.word_scores(kept, a[first], b[first], known)[inverse])
+        if not len(a):
+            return out
+        # each distinct word once
+        _, first, inverse = np.unique(K.span_hash(K.prefix_hash(kept), a, b), return_index=True, return_inverse=True)
+        score = self.word_scores(kept, a[first], b[first], known)[inverse]
+        for i, level in enumerate(LEVELS):
+            high = np.bincount(row[score > level], minlength=rows)
+            out[:, 3 + i] = np.log1p(high)
+            if i == 1:
+                out[:, 6] = np.minimum(10 * high / np.maximum(np.bincount(row, minlength=rows), 20), 2)
+        some = np.flatnonzero(score > FLOOR)
+        some = some[np.lexsort((-score[some], row[some]))]
+        place = np.arange(len(some)) - np.searchsorted(row[some], row[some])
+        top = place < 3
+        out[row[some[top]], place[top]] = np.clip(score[some[top]], -0.5, 1.5)
         return out
 
-    def probability(self, best: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * best.astype(np.float64) + self.shift, -35, 35)))
+    def probability(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ self.slope + self.shift, -35, 35)))
 
 
 def machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25, penalty: float = 1e-3) -> np.ndarray:
@@ -231,13 +248,13 @@ def _distinct(texts: pa.Array) -> list[set[bytes]]:
 
 def _grams(word: bytes) -> set[bytes]:
     w = b"^" + word + b"$"
-    return {w[i : i + 4] for i in range(max(1, len(w) - 3))}
+    return {w[i : i + n] for n in (4, 6) for i in range(max(1, len(w) - n + 1))}
 
 
 def _core(word: bytes, telling: dict[bytes, int]) -> bytes:
     """The stretch about the word's commonest telling four-gram whose four-grams are at least half as common."""
     w = b"^" + word + b"$"
-    n = [telling.get(w[i : i + 4], 0) for i in range(max(1, len(w) - 3))]
+    n = [max(telling.get(w[i : i + 4], 0), *(telling.get(w[j : j + 6], 0) for j in range(max(0, i - 2), i + 1))) for i in range(max(1, len(w) - 3))]
     top = max(n)
     if not top:
         return b""
@@ -257,25 +274,39 @@ def _spoilt(word: bytes, rng: np.random.Generator) -> list[bytes]:
     return [*out, word[:k] + word[k + 1 :]] if len(word) > 6 else out
 
 
+def _sentences(texts: pa.Array, labels: np.ndarray, insults: dict[bytes, int], most: int = 4000) -> tuple[pa.Array, np.ndarray]:
+    """Labelled sentences: of toxic texts those that hold an insult, of clean ones all, ``most`` of either at most."""
+    out: list[list[str]] = [[], []]
+    for text, y in zip(texts.to_pylist(), labels):
+        side = out[int(y > 0)]
+        for part in re.split(r"(?<=[.!?])\s+|\n", text or "") if len(side) < most else ():
+            if part.strip() and (not y or any(w.lower().strip(".,!?").encode() in insults for w in part.split())):
+                side.append(part)
+    clean, toxic = out[0][:most], out[1][:most]
+    return pa.array(clean + toxic, pa.string()), np.array([0] * len(clean) + [1] * len(toxic))
+
+
 def train(texts: pa.Array, labels: np.ndarray, landmarks: int = LANDMARKS) -> Model:
     """From texts and their labels; without a word that sets toxic texts apart every text scores their share."""
     docs = _distinct(texts)
     toxic, clean = [d for d, y in zip(docs, labels) if y], [d for d, y in zip(docs, labels) if not y]
     share = np.clip(len(toxic) / max(len(docs), 1), 0.01, 0.49)
-    constant = Model([], [], np.zeros(0, np.float32), FLOOR, 0.0, float(np.log(share / (1 - share))))
+    constant = Model([], [], np.zeros(0, np.float32), FLOOR, np.zeros(FEATURES), float(np.log(share / (1 - share))))
     counts: list[dict[bytes, int]] = [{}, {}]
     for c, part in zip(counts, (toxic, clean)):
         for d in part:
             for g in set().union(*map(_grams, d)) if d else ():
                 c[g] = c.get(g, 0) + 1
     odds = {g: np.log((k + 0.5) / (len(toxic) + 1)) - np.log((counts[1].get(g, 0) + 0.5) / (len(clean) + 1)) for g, k in counts[0].items() if k >= max(4, 0.012 * len(toxic))}
-    telling = {g: counts[0][g] for g, v in odds.items() if v >= 3.0}
-    clean_words = set().union(*clean) if clean else set()
-    insults: dict[bytes, int] = {}
-    for d in toxic:
-        for w in d:
-            if LENGTH <= len(w) <= LONGEST and w not in clean_words and _grams(w) & telling.keys():
-                insults[w] = insults.get(w, 0) + 1
+    telling = {g: counts[0][g] for g, v in odds.items() if v >= 2.0}
+    sides: list[dict[bytes, int]] = [{}, {}]
+    for side, part in zip(sides, (toxic, clean)):
+        for d in part:
+            for w in d:
+                if LENGTH <= len(w) <= LONGEST:
+                    side[w] = side.get(w, 0) + 1
+    ratio = len(clean) / max(len(toxic), 1)
+    insults = {w: n for w, n in sides[0].items() if n * ratio >= 4 * sides[1].get(w, 0) and _grams(w) & telling.keys()}
     cores: dict[bytes, int] = {}
     for w, n in insults.items():  # an insult that recurs as it is stands for itself, else its stem does
         core = w[:LANDMARK_LONGEST] if 2 * n >= max(telling.get(g, 0) for g in _grams(w)) else _core(w, telling)
@@ -284,7 +315,8 @@ def train(texts: pa.Array, labels: np.ndarray, landmarks: int = LANDMARKS) -> Mo
         return constant
     rng = np.random.Generator(np.random.PCG64(11))
     ordered = sorted(insults, key=lambda w: (-insults[w], w))[:3000]
-    pool = sorted(w for w in clean_words if LENGTH <= len(w) <= LONGEST)
+    pool = sorted(w for w in sides[1] if w not in insults)
+    often = np.array([sides[1][w] for w in pool], np.float64)
     # landmarks: the core least like those taken so far, by how often it occurs; then a few words of clean texts
     first = sorted((c for c in cores if len(c) >= LENGTH), key=lambda c: (-cores[c], c))[:400]
     like = kernel(rows_of(first), rows_of(first))
@@ -308,7 +340,7 @@ def train(texts: pa.Array, labels: np.ndarray, landmarks: int = LANDMARKS) -> Mo
     seen = {w: i for i, w in enumerate(pool)}
     k_yes = kernel(rows_of(yes), rows_of(marks))
     # only clean words that the model would compare can be hard; the others stand for themselves
-    gate = Model(marks, toxic_marks, np.zeros(len(marks), np.float32), 0.0, 0.0, 0.0)
+    gate = Model(marks, toxic_marks, np.zeros(len(marks), np.float32), 0.0, np.zeros(FEATURES), 0.0)
     size = np.array([len(w) for w in pool], np.int64)
     end = np.cumsum(size)
     near_words = np.flatnonzero(gate.candidates(np.frombuffer(b"".join(pool), np.uint8), end - size, end)) if pool else np.zeros(0, np.int64)
@@ -317,10 +349,10 @@ def train(texts: pa.Array, labels: np.ndarray, landmarks: int = LANDMARKS) -> Mo
     no = np.flatnonzero(np.isin(used, [seen[w] for w in drawn])).tolist()
     beta, bias = np.zeros(len(marks)), 0.0
     for _ in range(4):  # each time with the clean words that are hardest so far
-        k_no = k_pool[no]
+        k_no, common = k_pool[no], often[used[no]]
         x = np.concatenate([k_yes, k_no]) @ root
         y = np.concatenate([np.ones(len(k_yes)), -np.ones(len(k_no))])
-        cost = np.concatenate([worth, np.full(len(k_no), 1 / max(len(k_no), 1))]) * 100
+        cost = np.concatenate([worth, common / max(common.sum(), 1)]) * 100
         w = machine(x, y, cost)
         beta, bias = root @ w[:-1], float(w[-1])
         hard = np.argsort(-(k_pool @ beta))[:2000].tolist()
@@ -328,14 +360,18 @@ def train(texts: pa.Array, labels: np.ndarray, landmarks: int = LANDMARKS) -> Mo
         if more == no:
             break
         no = more
-    model = Model(marks, toxic_marks, beta.astype(np.float32), bias, 0.0, 0.0)
-    best = np.concatenate([model.best(data, offs, {}) for _, data, offs in K.chunks(texts)]).astype(np.float64)
-    z = np.stack([best, np.ones(len(best))], axis=1)
-    y, v = (np.asarray(labels) > 0).astype(np.float64), np.zeros(2)
+    model = Model(marks, toxic_marks, beta.astype(np.float32), bias, np.zeros(FEATURES), 0.0)
+    known: dict[int, float] = {}
+    parts, marked = _sentences(texts, labels, insults)
+    z = np.concatenate([model.features(data, offs, known) for t in (texts, parts) for _, data, offs in K.chunks(t)])
+    z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
+    y, v = np.concatenate([(np.asarray(labels) > 0), marked]).astype(np.float64), np.zeros(z.shape[1])
+    # sentences weigh half as much as documents, so that one insult in a short text is known as well
+    c = np.concatenate([np.ones(len(texts)), np.full(len(parts), 0.5 * len(texts) / max(len(parts), 1))])
     for _ in range(50):  # logistic curve by Newton steps
         p = 1 / (1 + np.exp(-np.clip(z @ v, -35, 35)))
-        v = v + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (y - p) - 1e-2 * v)
-    model.slope, model.shift = float(v[0]), float(v[1])
+        v = v + np.linalg.solve((z * (c * p * (1 - p))[:, None]).T @ z + 3e-2 * np.eye(len(v)), z.T @ (c * (y - p)) - 3e-2 * v)
+    model.slope, model.shift = v[:-1], float(v[-1])
     return model
 
 
@@ -352,7 +388,7 @@ def fit(df: DataFrame, labels: DataFrame, keep, label: str = "toxic", rows: int
 
     drawn = sample(df, labels, label, keep, rows).select("doc_id", "_text", "_label")
     got = drawn.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("_text")).mapInArrow(run, "m binary").collect()
-    return pickle.loads(bytes(got[0]["m"])) if got else Model([], [], np.zeros(0, np.float32), FLOOR, 0.0, -2.0)
+    return pickle.loads(bytes(got[0]["m"])) if got else Model([], [], np.zeros(0, np.float32), FLOOR, np.zeros(FEATURES), -2.0)
 
 
 def scores_of(name: str) -> dict[int, float]:
@@ -366,7 +402,7 @@ def scores_of(name: str) -> dict[int, float]:
 def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``score`` (0 to 1) and ``best`` (the highest word score) for each row.
 
-    Null and empty texts and texts without a candidate word get the lowest word score. Repeated rows and null ids are
+    Null and empty texts and texts without a candidate word get the lowest word scores. Repeated rows and null ids are
     kept, an empty table gives an empty one, other columns are not read. A text's words are all looked at.
     """
     import uuid
@@ -377,10 +413,9 @@ def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches):
         known = scores_of(name)
         for batch in batches:
-            best = np.full(batch.num_rows, FLOOR, np.float32)
-            for a, data, offs in K.chunks(batch.column(1), K.CHUNK // 2):
-                best[a : a + len(offs) - 1] = sent.value.best(data, offs, known)
-            yield pa.record_batch([batch.column(0), pa.array(sent.value.probability(best)), pa.array(best.astype(np.float64))], names=[id_col, "score", "best"])
+            parts = [sent.value.features(data, offs, known) for _, data, offs in K.chunks(batch.column(1), K.CHUNK // 2)]
+            z = np.concatenate(parts) if parts else np.zeros((0, FEATURES))
+            yield pa.record_batch([batch.column(0), pa.array(sent.value.probability(z)), pa.array(z[:, 0])], names=[id_col, "score", "best"])
 
     return df.select(id_col, F.col(text_col).cast("string").alias("_text_")).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, score double, best double")
 
