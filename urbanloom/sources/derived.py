@@ -25,6 +25,8 @@ RELATIONS = {
     "alternatives": "SELECT l_suppkey AS id, avg(l_extendedprice) AS c1, avg(l_quantity) AS c2, 1 + avg(l_discount) AS c3, 1 + avg(l_tax) AS c4, CAST(count(*) AS DOUBLE) AS c5 FROM {lineitem} GROUP BY l_suppkey",
     # a daily series for each event type
     "series": "SELECT event_type AS k, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS t, sum(value) AS v FROM {events} GROUP BY 1, 2",
+    # plots with attributes spread over fixed ranges
+    "plots": "SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS s, p_retailprice AS price, CAST(p_partkey % 97 AS DOUBLE) / 97 AS u, CAST(p_partkey % 89 AS DOUBLE) / 89 AS v, CAST(p_partkey % 83 AS DOUBLE) / 83 AS w, CAST(p_partkey % 79 AS DOUBLE) / 79 AS q FROM {part}",
     # raster cells, 40 columns wide
     "cells": "SELECT CAST(floor((p_partkey - 1) / 40) AS INT) AS r, CAST((p_partkey - 1) % 40 AS INT) AS c, p_retailprice AS z, CAST(p_size AS DOUBLE) AS a, CAST(p_partkey % 7 AS DOUBLE) / 7 AS b FROM {part}",
 }
