@@ -23,7 +23,7 @@ from urbanloom.llm import kernels as K
 from urbanloom.session import ship
 
 #: Entries kept by the memos of a Python worker before they are emptied (memory only; results don't depend on it).
-PIECES_KEPT, PAIRS_KEPT = 200_000, 1_000_000
+PIECES_KEPT, PAIRS_KEPT = 300_000, 500_000
 _CODECS: dict[tuple[bytes, str], Codec] = {}
 
 
@@ -41,31 +41,32 @@ class Codec:
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
         self.pattern = regex.compile(pattern)
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, array] = {}
+        self.pairs: dict[int, bool] = {}
+        self.pieces: dict[str, bytes] = {}  # of late; when full it becomes the older one
+        self.older: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Greedy merging as it is defined: again and again the leftmost pair of the least rank."""
+        get, none = self.ranks.get, len(self.tokens)
         parts = [data[i : i + 1] for i in range(len(data))]
-        get = self.ranks.get
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == none:
                 break
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = get(parts[at] + parts[at + 1], none)
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + parts[at], none)
         return [self.ranks[p] for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+        if len(self.pairs) >= PAIRS_KEPT:
+            self.pairs.clear()
+        known = self.pairs[left << 32 | right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
 
     def encode_piece(self, data: bytes) -> list[int]:
@@ -73,47 +74,58 @@ class Codec:
         if whole is not None:
             return [whole]
         n = len(data)
-        choices: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        choices: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
         for end, found in self.automaton.iter(data.decode("latin-1")):
-            choices[end - found[0] + 1].append(found)  # shorter ones come first
-        dead = bytearray(n + 1)
+            choices[end + 1 - found[0]].append(found)  # shorter ones come first
+        dead, known, compatible = set(), self.pairs.get, self.compatible
         out: list[int] = []
-        tried = [len(choices[0])]  # for each open position: choices[:tried] are still to be tried
-        pos = 0
+        open_: list[tuple[int, list]] = []  # the positions behind, and what is still to be tried there
+        pos, last, here = 0, -1, choices[0]
         while pos < n:
-            k = tried[-1] - 1
-            while k >= 0:
-                size, rank = choices[pos][k]
-                if not dead[pos + size] and (not out or self.compatible(out[-1], rank)):
-                    break
-                k -= 1
-            tried[-1] = max(k, 0)
-            if k < 0:
+            while here:
+                size, rank = here.pop()
+                to = pos + size
+                if to in dead:
+                    continue
+                if last >= 0:
+                    fits = known(last << 32 | rank)
+                    if not (compatible(last, rank) if fits is None else fits):
+                        continue
+                out.append(rank)
+                open_.append((pos, here))
+                pos, last, here = to, rank, choices[to][:]
+                break
+            else:
                 if not out:
                     raise ValueError("the vocabulary lacks a byte of the text")
-                dead[pos] = 1
-                tried.pop()
-                pos -= len(self.tokens[out.pop()])
-                continue
-            out.append(rank)
-            pos += size
-            tried.append(len(choices[pos]) if pos < n else 0)
+                dead.add(pos)
+                out.pop()
+                pos, here = open_.pop()
+                last = out[-1] if out else -1
         return out
 
-    def encode(self, text: str) -> array:
-        ids, kept = array("i"), self.pieces
-        more = iter([self.pattern.findall(text)]) if len(text) < 1 << 22 else self._slices(text)
+    def encode(self, text: str) -> bytes:
+        """The ids, as native 32-bit integers."""
+        ids = bytearray()
+        more = iter([self.split(text)]) if len(text) < 1 << 22 else self._slices(text)
         for pieces in more:
+            kept, older = self.pieces, self.older
             for piece in pieces:
                 got = kept.get(piece)
                 if got is None:
-                    if len(kept) >= PIECES_KEPT:
-                        kept.clear()
-                    got = array("i", self.encode_piece(piece.encode()))
+                    got = older.get(piece)
+                    if got is None:
+                        got = array("i", self.encode_piece(piece.encode())).tobytes()
                     if len(piece) <= 64:
                         kept[piece] = got
-                ids.extend(got)
-        return ids
+                        if len(kept) >= PIECES_KEPT:
+                            self.older = older = kept
+                            self.pieces = kept = {}
+                ids += got
+        return bytes(ids)
+
+    def split(self, text: str) -> list[str]:
+        return self.pattern.findall(text)
 
     def _slices(self, text: str):
         found = self.pattern.finditer(text)
@@ -148,13 +160,13 @@ def encode_decode(df: DataFrame, vocabulary: bytes, pattern: str, id_col: str =
         own = codec(*sent.value)
         for batch in batches:
             for a, data, offs in K.chunks(batch.column(1)):
-                flat, sizes, decoded = array("i"), [0], []
+                flat, sizes, decoded = bytearray(), [0], []
                 for i in range(len(offs) - 1):
                     ids = own.encode(data[offs[i] : offs[i + 1]].tobytes().decode("utf-8"))
-                    flat.extend(ids)
-                    sizes.append(len(flat))
-                    decoded.append(own.decode(ids))
-                lists = pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
+                    flat += ids
+                    sizes.append(len(flat) // 4)
+                    decoded.append(own.decode(array("i", ids)))
+                lists = pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), pa.array(np.frombuffer(bytes(flat), np.int32)))
                 yield pa.record_batch([batch.column(0).slice(a, len(offs) - 1), lists, pa.array(decoded, pa.binary())], names=[id_col, "ids", "decoded"])
 
     kept = df.select(id_col, F.col(text_col).cast("string").alias(text_col))
