@@ -25,6 +25,9 @@ RELATIONS = {
     "alternatives": "SELECT l_suppkey AS id, avg(l_extendedprice) AS c1, avg(l_quantity) AS c2, 1 + avg(l_discount) AS c3, 1 + avg(l_tax) AS c4, CAST(count(*) AS DOUBLE) AS c5 FROM {lineitem} GROUP BY l_suppkey",
     # a daily series for each event type
     "series": "SELECT event_type AS k, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS t, sum(value) AS v FROM {events} GROUP BY 1, 2",
+    # a street grid of 25 nodes with uneven costs and stress classes
+    "nodes": "SELECT CAST(n_nationkey AS BIGINT) AS node, CAST(10 + n_nationkey % 7 AS DOUBLE) AS pop, CAST(1 + n_nationkey % 3 AS DOUBLE) AS w FROM {nation}",
+    "edges": "SELECT CAST(a.n_nationkey AS BIGINT) AS src, CAST(b.n_nationkey AS BIGINT) AS dst, CAST(1 + (a.n_nationkey * 7 + b.n_nationkey * 3) % 5 AS DOUBLE) AS cost, CAST(1 + (a.n_nationkey + b.n_nationkey * 2) % 4 AS INT) AS lts FROM {nation} a JOIN {nation} b ON (b.n_nationkey = a.n_nationkey + 1 AND a.n_nationkey % 5 < 4) OR b.n_nationkey = a.n_nationkey + 5",
     # plots with attributes spread over fixed ranges
     "plots": "SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS s, p_retailprice AS price, CAST(p_partkey % 97 AS DOUBLE) / 97 AS u, CAST(p_partkey % 89 AS DOUBLE) / 89 AS v, CAST(p_partkey % 83 AS DOUBLE) / 83 AS w, CAST(p_partkey % 79 AS DOUBLE) / 79 AS q FROM {part}",
     # raster cells, 40 columns wide
