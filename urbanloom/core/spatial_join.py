@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from urbanloom.core.tables import stored
+
 
 def distance(a: str = "l", b: str = "r") -> Column:
     dx, dy = F.col(f"{a}.x") - F.col(f"{b}.x"), F.col(f"{a}.y") - F.col(f"{b}.y")
@@ -55,7 +57,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, left_key: str = "id", rig
         done = ranked.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("i")
         settled = ranked.join(done, "i", "left_semi")
         out = settled if out is None else out.unionByName(settled)
-        todo = todo.join(done, "i", "left_anti")
+        todo = stored(todo.join(done, "i", "left_anti"), "unsettled")
         if todo.isEmpty():
             return out
         radius *= 3

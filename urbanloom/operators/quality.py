@@ -102,7 +102,7 @@ def bootstrap_mean_ci(df: DataFrame, x: str, confidence: float = 0.95, n_boot: i
                 counts += k.sum(axis=1)
         yield pd.DataFrame({"b": np.arange(n), "s": sums, "c": counts})
 
-    reps = df.select(finite(x).alias("v")).mapInPandas(run, "b int, s double, c double").groupBy("b").agg((F.sum("s") / F.sum("c")).alias("m"))
+    reps = df.select(finite(x).alias("v")).mapInPandas(run, "b int, s double, c double").groupBy("b").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("m"))
     lo, hi = (1 - confidence) / 2, (1 + confidence) / 2
     ends = reps.agg(F.percentile("m", F.lit(lo)).alias("ci_low"), F.percentile("m", F.lit(hi)).alias("ci_high"))
     return df.agg(F.avg(finite(x)).alias("mean")).crossJoin(ends)

@@ -1 +1 @@
-
+"""Structured Streaming forms of operators that make sense on event streams."""
