@@ -1,39 +1,5 @@
-"""Connected components over a table of links, by alternating large-star and small-star rounds.
+"""Connected components, as the library's core has them."""
 
-Each round is two joins and two aggregates over the links; nothing is gathered on the driver but one checksum. Rounds
-are written to scratch tables, so their lineage is short and a lost executor repeats one round at most.
-"""
+from urbanloom.core.graph import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from urbanloom.llm.storage import stored
-
-
-def components(links: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of a link; component is the least node reachable. Nodes are integers.
-
-    Loops and repeated links don't matter; links with a null end are left out; no links give no rows.
-    """
-    pairs = links.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null and a <> b").distinct()
-    last = None
-    for _ in range(rounds):
-        # large star: every larger neighbour of a node is linked with the least of the node and its neighbours
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: smaller neighbours and the node itself are linked with the least of them
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        joined = down.join(least, "a")
-        pairs = stored(joined.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct(), "links")
-        sums = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.count_distinct("a").alias("k")).first()
-        state = (sums["n"], sums["h"])
-        if sums["n"] == sums["k"] and state == last or not sums["n"]:
-            break
-        last = state
-    else:
-        raise RuntimeError(f"links did not settle within {rounds} rounds")
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+__all__ = ["components"]

@@ -1,31 +1,5 @@
-"""Scratch tables in the shared folder that the cluster names, so a lost executor costs no work."""
+"""Scratch tables in the shared folder that the cluster names, as the library's core has them."""
 
-from __future__ import annotations
+from urbanloom.core.tables import scratch_path, shared_dir, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("spark.urbanloom.scratch", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="urbanloom-scratch-")
-            spark.conf.set("spark.urbanloom.scratch", base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/urbanloom-{uuid.uuid4().hex}/{name}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to a scratch table and reads it back: the lineage is cut and nothing is computed twice."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["scratch_path", "shared_dir", "stored"]
