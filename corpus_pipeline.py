@@ -37,8 +37,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a window of a benchmark item occurs."""
-    hit = decontam.contamination(docs, load(spark, sf_dir, "benchmark")).where("size(hits) > 0").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    scanned = decontam.contamination(docs, load(spark, sf_dir, "benchmark"), carry=COLUMNS)
+    return scanned.where("size(hits) = 0").select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

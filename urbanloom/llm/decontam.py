@@ -80,8 +80,8 @@ def scan(words: list[bytes], built) -> tuple[list[tuple[int, int]], set]:
     return merged, keys
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``id_col``, ``n_words``, ``hits`` (word ranges), ``spans`` (code points of the original) and ``items`` for each row.
+def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``carry``, ``n_words``, ``hits`` (word ranges), ``spans`` (code points of the original) and ``items`` for each row.
 
     Null and empty texts have no words. Items without words have no windows; equal items each count, and rows that
     repeat an item id count as one item; null item ids are left out. Items are read in parts of at most
@@ -93,9 +93,10 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     rows = benchmark.select(F.col(item_col).cast("string").alias("k"), F.col(item_text_col).cast("string").alias("t")).where("k is not null and t is not null")
     total = rows.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     n_parts = int(total // (AUTOMATON_BYTES // 2)) + 1
-    id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, n_words long, hits array<struct<a:int,b:int>>, spans array<struct<a:int,b:int>>, items array<string>"
-    texts = df.select(id_col, F.col(text_col).cast("string").alias(text_col))
+    names = [id_col, *(c for c in carry if c != id_col)]
+    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+    schema = f"{kept}, n_words long, hits array<struct<a:int,b:int>>, spans array<struct<a:int,b:int>>, items array<string>"
+    texts = df.select(*names, F.col(text_col).cast("string").alias("_text_"))
 
     def part(k: int) -> DataFrame:
         own = rows if n_parts == 1 else rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n_parts)) == k)
@@ -106,7 +107,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         def run(batches):
             built = automaton_of(name, sent, window)
             for batch in batches:
-                for a, data, offs in K.chunks(batch.column(1)):
+                for a, data, offs in K.chunks(batch.column(len(names))):
                     counts, hits, spans, items = [], [], [], []
                     for i in range(len(offs) - 1):
                         text = data[offs[i] : offs[i + 1]].tobytes()
@@ -118,24 +119,25 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                         spans.append([{"a": where[x][0], "b": where[y - 1][1]} for x, y in found])
                         items.append(sorted(keys))
                     pairs = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-                    yield pa.record_batch([batch.column(0).slice(a, len(offs) - 1), pa.array(counts, pa.int64()), pa.array(hits, pairs), pa.array(spans, pairs), pa.array(items, pa.list_(pa.string()))], names=[id_col, "n_words", "hits", "spans", "items"])
+                    yield pa.record_batch([*(c.slice(a, len(offs) - 1) for c in batch.columns[: len(names)]), pa.array(counts, pa.int64()), pa.array(hits, pairs), pa.array(spans, pairs), pa.array(items, pa.list_(pa.string()))], names=[*names, "n_words", "hits", "spans", "items"])
 
         return texts.mapInArrow(run, schema)
 
     if n_parts == 1:
         return part(0)
-    return _merge(texts, [part(k) for k in range(n_parts)], id_col)
+    return _merge([part(k) for k in range(n_parts)], names)
 
 
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
-def _merge(texts: DataFrame, parts: list[DataFrame], id_col: str) -> DataFrame:
-    """Joins the rows that parts of a large benchmark give; rows with equal ids and word counts are told apart by nothing else, so ids must be unique here."""
+def _merge(parts: list[DataFrame], names: list[str]) -> DataFrame:
+    """Joins the rows that parts of a large benchmark give. Rows that agree in all carried columns and the word count
+    become one, so ids (or carried columns) must tell rows apart here."""
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    out = both.groupBy(id_col, "n_words").agg(F.flatten(F.collect_list("hits")).alias("h"), F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = both.groupBy(*names, "n_words").agg(F.flatten(F.collect_list("hits")).alias("h"), F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def merged(c: str):
         def step(acc, x):
@@ -145,7 +147,7 @@ def _merge(texts: DataFrame, parts: list[DataFrame], id_col: str) -> DataFrame:
 
         return F.aggregate(F.array_sort(c), F.expr("cast(array() as array<struct<a:int,b:int>>)"), step)
 
-    return out.select(id_col, "n_words", merged("h").alias("hits"), merged("s").alias("spans"), "items")
+    return out.select(*names, "n_words", merged("h").alias("hits"), merged("s").alias("spans"), "items")
 
 
 def verdicts(df: DataFrame) -> DataFrame:
