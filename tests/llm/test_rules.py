@@ -53,3 +53,16 @@ def test_dataframe_cases(spark):
     out = rules.verdicts(df, labels).collect()
     assert sorted((r.n_words, r.base_failed, r.kept) for r in out) == [(0, True, False), (0, True, False), (30, False, True), (30, False, True), (30, True, False)]
     assert rules.verdicts(df.limit(0), labels.limit(0)).count() == 0
+
+
+def test_calibration_reads_all_labelled_rows(spark):
+    # a rare stratum has enough good rows for a cutoff only if no labelled row is left out
+    good, bad = " ".join(f"w{i}" for i in range(12)), " ".join(f"w{i}#" for i in range(12))
+    kind = "CASE WHEN id < 11000 THEN 'en' ELSE 'es' END AS lang"
+    df = spark.range(12300).selectExpr("id AS doc_id", f"CASE WHEN id < 12200 THEN '{good}' ELSE '{bad}' END AS text", kind)
+    out = rules.verdicts(df, spark.range(12300).selectExpr("id AS doc_id", "CAST(id < 12200 AS INT) AS quality"))
+    assert {(r.kept, r["count"]) for r in out.groupBy("kept").count().collect()} == {(True, 12200), (False, 100)}
+
+
+def test_upper_bound_of_many_rows():
+    assert abs(rules.upper_bound(400_000, 100_000_000, 0.05) - 0.00401) < 1e-5

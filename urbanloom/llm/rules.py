@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.core.tables import stored
 from urbanloom.llm import kernels as K
-from urbanloom.llm.training import sample
 from urbanloom.session import ship
 
-#: Labelled rows that calibration reads at most; the risk of rejecting a good text and the confidence in it.
-CALIBRATION_ROWS, RISK, CONFIDENCE = 8000, 0.04, 0.95
+#: The risk of rejecting a good text and the confidence in it.
+RISK, CONFIDENCE = 0.04, 0.95
 #: Measures that rules look at: name, SQL over the counts, and the grid of cutoffs (reject above).
 RULES = (
     ("symbols", "n_symbols / greatest(n_words, 1)", (0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0)),
@@ -106,48 +106,82 @@ def upper_bound(k: int, n: int, alpha: float) -> float:
     """Exact binomial upper bound: the rate at which k or fewer of n have probability alpha."""
     if n == 0 or k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
+    log_ways = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    def tail(p: float) -> float:
+        # p is above k / n, so the terms from k down to 0 fall and soon no longer count
+        if not 0 < p < 1:
+            return float(p <= 0)
+        term = total = math.exp(log_ways + k * math.log(p) + (n - k) * math.log1p(-p))
+        i = k
+        while i and term > total * 1e-17:
+            term *= i * (1 - p) / ((n - i + 1) * p)
+            total += term
+            i -= 1
+        return total
+
     lo, hi = k / n, 1.0
     for _ in range(60):
         p = (lo + hi) / 2
-        total = sum(math.exp(c + i * math.log(p) + (n - i) * math.log1p(-p)) for i, c in enumerate(logs)) if 0 < p < 1 else float(p <= 0)
-        lo, hi = (p, hi) if total > alpha else (lo, p)
+        lo, hi = (p, hi) if tail(p) > alpha else (lo, p)
     return hi
 
 
 def calibrate(rows: list[tuple], risk: float = RISK, confidence: float = CONFIDENCE) -> dict[str, dict[str, float]]:
     """Cutoffs by stratum and rule from (stratum, good, measure of each rule) rows."""
-    strata = sorted({r[0] for r in rows})
-    tests = max(1, len(strata) * sum(len(grid) for _, _, grid in RULES))
+    tallies: dict[tuple, list[int]] = {}
+    for s, good, *values in rows:
+        own = tallies.setdefault((s, bool(good)), [0] * (1 + sum(len(grid) for _, _, grid in RULES)))
+        for k, over in enumerate([True, *(v > c for v, (_, _, grid) in zip(values, RULES) for c in grid)]):
+            own[k] += over
+    return cutoffs(tallies, risk, confidence)
+
+
+def cutoffs(tallies: dict[tuple, list[int]], risk: float = RISK, confidence: float = CONFIDENCE) -> dict[str, dict[str, float]]:
+    """Cutoffs by stratum and rule from the number of rows of each (stratum, good) and how many exceed each cutoff."""
+    strata = sorted({s for s, _ in tallies})
+    none = [0] * (1 + sum(len(grid) for _, _, grid in RULES))
+    alpha, limit = (1 - confidence) / max(1, len(strata) * (len(none) - 1)), risk / len(RULES)
     out: dict[str, dict[str, float]] = {}
     for s in strata:
-        good = [r for r in rows if r[0] == s and r[1]]
-        bad = [r for r in rows if r[0] == s and not r[1]]
-        for j, (name, _, grid) in enumerate(RULES):
-            allowed = [(sum(r[2 + j] > c for r in bad), c) for c in grid if upper_bound(sum(r[2 + j] > c for r in good), len(good), (1 - confidence) / tests) <= risk / len(RULES)]
+        good, bad = tallies.get((s, True), none), tallies.get((s, False), none)
+        k = 0
+        for name, _, grid in RULES:
+            allowed = []
+            for c in grid:
+                k += 1
+                if good[k] <= limit * good[0] and upper_bound(good[k], good[0], alpha) <= limit:
+                    allowed.append((bad[k], c))
             best = max(allowed, default=(0, 0.0))
             if best[0]:
                 out.setdefault(s, {})[name] = best[1]
     return out
 
 
-def verdicts(df: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", label: str = "quality", rows: int = CALIBRATION_ROWS) -> DataFrame:
+def tally(measured: DataFrame, labels: DataFrame, stratum: str, id_col: str, label: str) -> dict[tuple, list[int]]:
+    """What ``cutoffs`` needs, counted over all rows with a label and a stratum.
+
+    Ids with several labels count once (the largest label), null ids and labels are left out.
+    """
+    own = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("_label"))
+    over = [F.count_if(F.expr(sql) > float(c)) for _, sql, grid in RULES for c in grid]
+    rows = measured.where(F.col(stratum).isNotNull()).join(own, id_col).groupBy(stratum, (F.col("_label") != 0).alias("_good"))
+    return {(r[0], r[1]): list(r[2:]) for r in rows.agg(F.count("*"), *(c.alias(f"_over{k}") for k, c in enumerate(over))).collect()}
+
+
+def verdicts(df: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", label: str = "quality") -> DataFrame:
     """``id_col``, the COUNTS, ``base_failed``, ``failed_rules`` and ``kept`` for each row.
 
-    Empty and null texts have no words and fail the base rule. Rows with a null or unlabelled stratum have no cutoffs
-    beyond the base rule; an empty table gives an empty one; repeated rows and null ids are kept.
+    Cutoffs are calibrated on all labelled rows. Rows with a null or unlabelled stratum have no cutoffs beyond the base
+    rule; an empty table gives an empty one; repeated rows and null ids are kept.
     """
-    drawn = sample(df, labels, label, F.lit(True), rows, id_col, extra=(stratum,))
-    counted = measures(drawn, (stratum, "_label"), "_text")
-    holdout = counted.where(f"`{stratum}` is not null").select(stratum, "_label", *(F.expr(sql).cast("double") for _, sql, _ in RULES)).collect()
-    cutoffs = calibrate([tuple(r) for r in holdout])
+    every = stored(measures(df, tuple(dict.fromkeys((id_col, stratum)))), "measures")
     failed = [
         F.when(F.coalesce((F.col(stratum) == s) & (F.expr(sql) > own[name]), F.lit(False)), F.lit(name))
-        for s, own in cutoffs.items()
+        for s, own in cutoffs(tally(every, labels, stratum, id_col, label)).items()
         for name, sql, _ in RULES
         if name in own
     ]
-    every = measures(df, tuple(dict.fromkeys((id_col, stratum))))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rules = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
     return every.select(id_col, *COUNTS, base.alias("base_failed"), rules.alias("failed_rules"), (~base & (F.size(rules) == 0)).alias("kept"))
