@@ -66,3 +66,16 @@ def test_equals_brute_force(spark):
 def test_several_parts(spark, monkeypatch):
     monkeypatch.setattr(decontam, "AUTOMATON_BYTES", 600)
     check(spark)
+
+
+def test_several_parts_keep_rows_of_null_and_repeated_ids(spark, monkeypatch):
+    leak, clean = "p1 p2 p3 p4 q1 q2 q3 q4", "c1 c2 c3 c4 c5 c6 c7 c8"
+    docs = [(None, leak), (None, clean), (None, clean), (7, leak), (7, clean), (7, clean), (8, None), (8, "")]
+    items = [(i, f"{a}1 {a}2 {a}3 {a}4") for i, a in enumerate("pqrstuvw")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for carry in ((), ("text",)):
+        want = sorted(map(str, decontam.contamination(df, bench, carry=carry).collect()))
+        assert len(want) == len(docs) and sum("items=['0', '1']" in r for r in want) == 2
+        monkeypatch.setattr(decontam, "AUTOMATON_BYTES", 20)
+        assert sorted(map(str, decontam.contamination(df, bench, carry=carry).collect())) == want
+        monkeypatch.undo()

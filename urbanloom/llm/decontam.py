@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.core.tables import stored
 from urbanloom.llm import kernels as K
 from urbanloom.session import ship
 
@@ -85,8 +86,9 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
     Null and empty texts have no words. Items without words have no windows; equal items each count, and rows that
     repeat an item id count as one item; null item ids are left out. Items are read in parts of at most
-    ``AUTOMATON_BYTES`` of text, the bound of what is broadcast at a time; each part scans all texts and the parts'
-    rows are merged by a row key, so that no item is left out however many there are. Extra columns are not read.
+    ``AUTOMATON_BYTES`` of text, the bound of what is broadcast at a time; each part scans all texts, which are written
+    with a row key by which the parts' hits are merged, so that no item or row is left out however many there are.
+    Extra columns are not read.
     """
     spark = df.sparkSession
     ship(spark)
@@ -94,9 +96,13 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     total = rows.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     n_parts = int(total // (AUTOMATON_BYTES // 2)) + 1
     names = [id_col, *(c for c in carry if c != id_col)]
-    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+    passed = names
+    if n_parts > 1:
+        df = stored(df.select(*dict.fromkeys([*names, text_col])).withColumn(_ROW, F.monotonically_increasing_id()), "texts")
+        passed = [_ROW]
+    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in passed)
     schema = f"{kept}, n_words long, hits array<struct<a:int,b:int>>, spans array<struct<a:int,b:int>>, items array<string>"
-    texts = df.select(*names, F.col(text_col).cast("string").alias("_text_"))
+    texts = df.select(*passed, F.col(text_col).cast("string").alias("_text_"))
 
     def part(k: int) -> DataFrame:
         own = rows if n_parts == 1 else rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n_parts)) == k)
@@ -107,7 +113,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         def run(batches):
             built = automaton_of(name, sent, window)
             for batch in batches:
-                for a, data, offs in K.chunks(batch.column(len(names))):
+                for a, data, offs in K.chunks(batch.column(len(passed))):
                     counts, hits, spans, items = [], [], [], []
                     for i in range(len(offs) - 1):
                         text = data[offs[i] : offs[i + 1]].tobytes()
@@ -119,35 +125,37 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                         spans.append([{"a": where[x][0], "b": where[y - 1][1]} for x, y in found])
                         items.append(sorted(keys))
                     pairs = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-                    yield pa.record_batch([*(c.slice(a, len(offs) - 1) for c in batch.columns[: len(names)]), pa.array(counts, pa.int64()), pa.array(hits, pairs), pa.array(spans, pairs), pa.array(items, pa.list_(pa.string()))], names=[*names, "n_words", "hits", "spans", "items"])
+                    yield pa.record_batch([*(c.slice(a, len(offs) - 1) for c in batch.columns[: len(passed)]), pa.array(counts, pa.int64()), pa.array(hits, pairs), pa.array(spans, pairs), pa.array(items, pa.list_(pa.string()))], names=[*passed, "n_words", "hits", "spans", "items"])
 
         return texts.mapInArrow(run, schema)
 
     if n_parts == 1:
         return part(0)
-    return _merge([part(k) for k in range(n_parts)], names)
+    return df.join(_merge([part(k) for k in range(n_parts)]), _ROW).select(*names, "n_words", "hits", "spans", "items")
 
 
 _LOWER = {i: i + 32 for i in range(65, 91)}
+#: The row key that texts are written with when a benchmark has several parts.
+_ROW = "_row_"
 
 
-def _merge(parts: list[DataFrame], names: list[str]) -> DataFrame:
-    """Joins the rows that parts of a large benchmark give. Rows that agree in all carried columns and the word count
-    become one, so ids (or carried columns) must tell rows apart here."""
+def _merge(parts: list[DataFrame]) -> DataFrame:
+    """Joins what the parts of a large benchmark give for each row key; ranges that touch become one, and so do their spans."""
     both = parts[0]
     for p in parts[1:]:
-        both = both.unionByName(p)
-    out = both.groupBy(*names, "n_words").agg(F.flatten(F.collect_list("hits")).alias("h"), F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-
-    def merged(c: str):
-        def step(acc, x):
-            last = F.try_element_at(acc, F.lit(-1))
-            joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
-            return F.when((F.size(acc) > 0) & (x["a"] <= last["b"]), joined).otherwise(F.concat(acc, F.array(x)))
-
-        return F.aggregate(F.array_sort(c), F.expr("cast(array() as array<struct<a:int,b:int>>)"), step)
-
-    return out.select(*names, "n_words", merged("h").alias("hits"), merged("s").alias("spans"), "items")
+        both = both.unionByName(p.where("size(hits) > 0"))
+    zipped = F.arrays_zip("hits", "spans")
+    out = both.groupBy(_ROW).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(zipped))).alias("m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def step(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        wider = [F.struct(last[c]["a"].alias("a"), F.greatest(last[c]["b"], x[c]["b"]).alias("b")).alias(c) for c in ("hits", "spans")]
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(*wider)))
+        return F.when((F.size(acc) > 0) & (x["hits"]["a"] <= last["hits"]["b"]), joined).otherwise(F.concat(acc, F.array(x)))
+
+    none = F.expr("cast(array() as array<struct<hits:struct<a:int,b:int>,spans:struct<a:int,b:int>>>)")
+    out = out.withColumn("m", F.aggregate("m", none, step))
+    return out.select(_ROW, "n_words", F.col("m.hits").alias("hits"), F.col("m.spans").alias("spans"), "items")
 
 
 def verdicts(df: DataFrame) -> DataFrame:
