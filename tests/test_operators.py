@@ -167,3 +167,23 @@ def test_streaming_cube_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(rows(spark.table("cube_out"), "key", "n", "total")) == sorted(rows(event_cube(ev), "key", "n", "total")) == [("a", 2, 3.0), ("b", 1, 4.0)]
+
+
+def test_space_time_weighting_reads_all_sources(spark):
+    # near in space but late, far in space, out of any radius, a repeated and a null id, and so far that weights vanish
+    src = [(0.0, 0.0, 0.0, 10.0), (1.0, 0.0, 14.0, 20.0), (12.0, 0.0, 0.0, 40.0), (90.0, 5.0, 3.0, 80.0)]
+    tgt = [(1, 0.5, 0.0, 0.0), (2, 1.0, 0.0, 28.0), (3, 70.0, 0.0, 0.0), (3, 70.0, 0.0, 0.0), (None, 400.0, 0.0, 5.0), (5, 1e5, 0.0, 0.0), (6, None, 0.0, 0.0)]
+    s, t = spark.createDataFrame(src, "x double, y double, t double, v double"), spark.createDataFrame(tgt, "id long, x double, y double, t double")
+
+    def want(x, y, at):
+        w = [math.exp(-math.hypot(math.dist((x, y), p[:2]), at - p[2])) for p in src]
+        if not sum(w):
+            return sum(p[3] for p in src) / 4, 2.0
+        return sum(a * p[3] for a, p in zip(w, src)) / sum(w), 2 * (1 - max(w) / sum(w)) + 0.5
+
+    got = interpolation.space_time_weighting(s, t, 1.0, 1.0, 0.5, 2.0).collect()
+    key = lambda r: str(r[0])
+    assert len(got) == len(tgt)
+    for r, (i, x, y, at) in zip(sorted(got, key=key), sorted(tgt, key=key)):
+        assert r.id == i and (r["value"], r.variance) == (pytest.approx(want(x, y, at), rel=1e-12) if x is not None else (None, None))
+    assert interpolation.space_time_weighting(s.limit(0), t, 1.0, 1.0).where("value is null").count() == len(tgt)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanloom.core.spatial_join import nearest, range_join
+from urbanloom.core.tables import stored
+
+#: Share of a target's weights that sources out of reach may have together.
+PRECISION = 1e-16
 
 
 def idw(sources: DataFrame, targets: DataFrame, power: float = 2.0, max_points: int = 12, radius: float | None = None) -> DataFrame:
@@ -34,12 +40,28 @@ def grid(spark, xmin: float, ymin: float, xmax: float, ymax: float, cell: float)
 
 
 def space_time_weighting(sources: DataFrame, targets: DataFrame, space: float, time: float, nugget: float = 0.0, sill: float = 1.0) -> DataFrame:
-    """(id, value, variance) by weights exp(-d) of the scaled space-time distance, over sources (x, y, t, v) within ten
-    ranges, beyond which a weight is below 5e-5 of one at hand."""
-    a = targets.select(F.col("id").alias("i"), F.col("t").alias("ti"), "x", "y")
-    b = sources.select(F.col("id").alias("j"), F.col("t").alias("tj"), "v", "x", "y")
-    near = range_join(a, b, 10 * space, ["i", "ti"], ["j", "tj", "v"])
+    """(id, value, variance) for each target by weights exp(-d) of the scaled space-time distance to all sources (x, y, t, v).
+
+    Sources are met within a radius beyond which all weights together are below the precision of a double for a target
+    whose own weights sum to e^-10; targets that this doesn't settle get a pass over all sources. Where every weight is
+    zero the value is the plain mean and the variance the sill. Sources with a null don't count; a target with a null,
+    or without any source, gets nulls.
+    """
+    space, time = max(space, 1e-6), max(time, 1e-6)
+    b = sources.select("x", "y", F.col("t").alias("tj"), "v").na.drop()
+    n = b.count()
+    radius = math.log(max(n, 1) / PRECISION) + 10
+    at = targets.select("x", "y", F.col("t").alias("ti")).distinct()
     dt = (F.col("ti") - F.col("tj")) / time
     w = F.exp(-F.sqrt((F.col("d") / space) * (F.col("d") / space) + dt * dt))
-    out = near.withColumn("w", w).groupBy("i").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("value"), (sill * (1 - F.max("w") / F.sum("w")) + nugget).alias("variance"))
-    return out.select(F.col("i").alias("id"), "value", "variance")
+    sums = [F.sum("w").alias("w"), F.sum(F.col("w") * F.col("v")).alias("wv"), F.max("w").alias("most"), F.avg("v").alias("mean")]
+    near = range_join(at, b, radius * space, ["x", "y", "ti"], ["tj", "v"]).withColumn("w", w).groupBy("x", "y", "ti").agg(*sums)
+    near = stored(near.where(F.col("w") * PRECISION >= n * math.exp(-radius)), "settled")
+    same = lambda l, r: F.col(f"{l}.x").eqNullSafe(F.col(f"{r}.x")) & F.col(f"{l}.y").eqNullSafe(F.col(f"{r}.y")) & F.col(f"{l}.ti").eqNullSafe(F.col(f"{r}.ti"))
+    rest = at.na.drop().alias("a").join(near.alias("n"), same("a", "n"), "left_anti")
+    dx, dy = F.col("x") - F.col("_sx"), F.col("y") - F.col("_sy")
+    far = rest.crossJoin(b.withColumnsRenamed({"x": "_sx", "y": "_sy"})).withColumn("d", F.sqrt(dx * dx + dy * dy)).withColumn("w", w).groupBy("x", "y", "ti").agg(*sums)
+    value = F.when(F.col("w") > 0, F.col("wv") / F.col("w")).otherwise(F.col("mean"))
+    variance = F.when(F.col("w") > 0, sill * (1 - F.col("most") / F.col("w")) + nugget).when(F.col("w") == 0, F.lit(float(sill)))
+    out = near.unionByName(far).select("x", "y", "ti", value.alias("value"), variance.alias("variance"))
+    return targets.select("id", "x", "y", F.col("t").alias("ti")).alias("a").join(out.alias("o"), same("a", "o"), "left").select("a.id", "o.value", "o.variance")
