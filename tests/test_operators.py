@@ -187,3 +187,24 @@ def test_space_time_weighting_reads_all_sources(spark):
     for r, (i, x, y, at) in zip(sorted(got, key=key), sorted(tgt, key=key)):
         assert r.id == i and (r["value"], r.variance) == (pytest.approx(want(x, y, at), rel=1e-12) if x is not None else (None, None))
     assert interpolation.space_time_weighting(s.limit(0), t, 1.0, 1.0).where("value is null").count() == len(tgt)
+
+
+def test_centralities_converge(spark):
+    import numpy as np
+
+    n = 10  # a path: the slowest small graph; node 10 has no edge
+    links = [(i, i + 1, 1.0 + i % 3) for i in range(n - 1)]
+    e, nodes = spark.createDataFrame(links, "src long, dst long, cost double"), spark.range(n + 1).withColumnRenamed("id", "node")
+    a, p = np.eye(n + 1), np.zeros((n + 1, n + 1))
+    for i, j, c in links:
+        a[i, j] = a[j, i] = 1
+        p[i, j] = p[j, i] = 1 / c
+    v = np.abs(np.linalg.eigh(a)[1][:, -1])
+    got = dict(rows(network.eigenvector(e, nodes), "node", "value"))
+    assert len(got) == n + 1 and max(abs(got[i] - v[i] / v.max()) for i in range(n + 1)) < 1e-6
+    p[n] = 1  # a dead end's rank goes to all
+    p = 0.85 * p / p.sum(1, keepdims=True) + 0.15 / (n + 1)
+    r = np.linalg.matrix_power(p, 5000)[0]
+    got = dict(rows(network.pagerank(e, nodes), "node", "rank"))
+    assert len(got) == n + 1 and max(abs(got[i] - r[i]) for i in range(n + 1)) < 1e-5
+    assert network.eigenvector(e.limit(0), nodes.limit(0)).count() == network.pagerank(e.limit(0), nodes.limit(0)).count() == 0

@@ -74,31 +74,62 @@ def morphometry(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return n.crossJoin(e).select("n", "e", "mean_degree", "mean_length", ((F.col("e") - F.col("n") + 1) / (2 * F.col("n") - 5)).alias("meshedness"), "dead_ends", "crossings")
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, iterations: int = 20) -> DataFrame:
-    """(node, rank): steps go to neighbours by inverse cost; what dead ends hold is spread over all."""
+def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, iterations: int = 100, tol: float = 1e-6) -> DataFrame:
+    """(node, rank): steps go to neighbours by inverse cost; what dead ends hold is spread over all.
+
+    Ends when the changes of a step sum to less than ``tol``, or after ``iterations`` steps.
+    """
     arcs = both_ways(edges).select("src", "dst", (1 / F.col("cost")).alias("w"))
     total = arcs.groupBy("src").agg(F.sum("w").alias("t"))
     arcs = stored(arcs.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "arcs")
     n = nodes.count()
-    ranks = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
     ends = total.select("src")
-    for _ in range(iterations):
-        held = ranks.join(ends, F.col("node") == F.col("src"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+    nodes = stored(nodes.join(ends, F.col("node") == F.col("src"), "left").select("node", F.col("src").isNull().alias("dead")), "ends")
+    ranks = nodes.select("node", "dead", F.lit(1.0 / max(n, 1)).alias("rank"))
+    lost = nodes.where("dead").count() / max(n, 1)
+    for _ in range(iterations if n else 0):
         got = ranks.join(arcs, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("g"))
-        ranks = nodes.join(got, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(held)).select("node", ((1 - alpha) / n + alpha * (F.coalesce("g", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        ranks = stored(ranks, "ranks")  # read twice in the next round
-    return ranks
-
-
-def eigenvector(edges: DataFrame, nodes: DataFrame, iterations: int = 20) -> DataFrame:
-    """(node, value): power iteration on the adjacency plus the identity, scaled to a largest value of 1."""
-    arcs = both_ways(edges).select("src", "dst")
-    x = nodes.select("node", F.lit(1.0).alias("value"))
-    for _ in range(iterations):
-        got = x.join(arcs, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum("value").alias("g"))
-        x = stored(x.join(got, F.col("node") == F.col("dst"), "left").select("node", (F.col("value") + F.coalesce("g", F.lit(0.0))).alias("value")), "eigen")
-        x = x.crossJoin(F.broadcast(x.agg(F.max("value").alias("m")))).select("node", (F.col("value") / F.col("m")).alias("value"))
-    return x
+        new = (1 - alpha) / n + alpha * (F.coalesce("g", F.lit(0.0)) + lost / n)
+        ranks = stored(ranks.join(got, F.col("node") == F.col("dst"), "left").select("node", "dead", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")), "ranks")
+        step = ranks.agg(F.sum("change").alias("change"), F.coalesce(F.sum(F.when(F.col("dead"), F.col("rank"))), F.lit(0.0)).alias("lost")).first()
+        lost = step["lost"]
+        if step["change"] < tol:
+            break
+    return ranks.select("node", "rank")
+
+
+#: Steps of the eigenvector iteration between two written rounds.
+STEPS = 8
+
+
+def eigenvector(edges: DataFrame, nodes: DataFrame, iterations: int = 200, tol: float = 1e-10) -> DataFrame:
+    """(node, value): power iteration on the adjacency plus the identity, scaled to a largest value of 1.
+
+    Ends when a step changes no value of the vector of length 1 by ``tol``, which is looked at every STEPS steps, or
+    after ``iterations`` steps.
+    """
+    known = nodes.select("node").distinct()
+    arcs = both_ways(edges).select("src", "dst", F.lit(False).alias("own"))
+    for end in ("src", "dst"):
+        arcs = arcs.join(known, F.col(end) == F.col("node"), "left_semi")
+    arcs = stored(arcs.unionByName(known.where("node is not null").select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("own"))), "arcs")
+    x, done = known.where("node is not null").select("node", F.lit(1.0).alias("value")), 0
+    while done < iterations:
+        steps = min(STEPS, iterations - done)
+        for _ in range(steps):
+            # a node's own arc keeps its value, so that no step reads its predecessor twice
+            x = x.select("node", "value").join(arcs, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"))
+            x = x.agg(F.sum("value").alias("value"), F.sum(F.when(F.col("own"), F.col("value"))).alias("last"))
+        done += steps
+        x = stored(x, "eigen")
+        size = x.agg(*(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(c) for c in ("value", "last")), F.max("value").alias("most")).first()
+        if size["value"] is None:
+            break
+        moved = x.agg(F.max(F.abs(F.col("value") / size["value"] - F.col("last") / size["last"])).alias("m")).first()["m"]
+        x = x.select("node", (F.col("value") / size["most"]).alias("value"))
+        if moved < tol:
+            break
+    return nodes.select("node").join(x.select("node", "value"), "node").select("node", "value")
 
 
 def probability_of_connectivity(edges: DataFrame, patches: DataFrame) -> DataFrame:
