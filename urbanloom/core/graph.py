@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanloom.core.tables import stored
+from urbanloom.core.tables import drop, stored
 
 
 def components(links: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
@@ -18,7 +18,7 @@ def components(links: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
     Loops and repeated links don't matter; links with a null end are left out; no links give no rows.
     """
     pairs = links.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null and a <> b").distinct()
-    last = None
+    last = before = None
     for _ in range(rounds):
         # large star: every larger neighbour of a node is linked with the least of the node and its neighbours
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -30,6 +30,8 @@ def components(links: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
         joined = down.join(least, "a")
         pairs = stored(joined.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct(), "links")
         sums = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.count_distinct("a").alias("k")).first()
+        drop(before)
+        before = pairs
         state = (sums["n"], sums["h"])
         if sums["n"] == sums["k"] and state == last or not sums["n"]:
             break

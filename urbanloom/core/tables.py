@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session; a folder of our own only where it is unset and Spark is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.urbanloom.scratch", None)
         if not base:
             base = tempfile.mkdtemp(prefix="urbanloom-scratch-")
@@ -29,3 +32,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame | None) -> None:
+    """Deletes the scratch table that ``stored`` returned as ``df``, once a later one has taken its place."""
+    if df is None:
+        return
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    base = shared_dir(df.sparkSession)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if "/urbanloom-" in folder and path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(base).toUri().getPath()):
+            path.getFileSystem(conf).delete(path, True)
