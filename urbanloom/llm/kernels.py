@@ -12,22 +12,40 @@ import pyarrow as pa
 
 CHUNK = 1 << 20
 _U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240607))
-#: A random 64-bit value for each byte, and an odd base with its inverse mod 2^64.
-BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 1 << 64)
+#: Spans are hashed by a polynomial over their bytes modulo the prime 2^61 - 1: two different spans of n bytes agree with
+#: probability n / 2^61 at most over the choice of the base, whatever their structure.
+PRIME = (1 << 61) - 1
+BASE = int(np.random.Generator(np.random.PCG64(20240607)).integers(1 << 58, 1 << 60))
+BASE_INV = pow(BASE, -1, PRIME)
+_P, _LOW31 = _U(PRIME), _U((1 << 31) - 1)
+#: Bytes whose 39-bit products can be summed in 64 bits.
+_SUMMED = 1 << 24
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x mod PRIME for any 64-bit x."""
+    x = (x & _P) + (x >> _U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """a * b mod PRIME, both below it, by 32-bit halves: 2^61 counts as 1 and 2^64 as 8."""
+    a0, a1, b0, b1 = a & _U(0xFFFFFFFF), a >> _U(32), b & _U(0xFFFFFFFF), b >> _U(32)
+    low, middle = a0 * b0, a0 * b1 + a1 * b0
+    return reduced((low & _P) + (low >> _U(61)) + ((a1 * b1) << _U(3)) + (middle >> _U(29)) + ((middle & _U((1 << 29) - 1)) << _U(32)))
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) mod 2^64, kept and grown for each base."""
+    """base^0 .. base^(n-1) mod PRIME, kept and grown for each base."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         size = 1 << max(20, (n - 1).bit_length())
-        have = np.full(size, base % (1 << 64), dtype=np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
+        have = np.ones(size, np.uint64) if have is None else np.concatenate([have, np.ones(size - len(have), np.uint64)])
+        known = 1 if base not in _POWERS else len(_POWERS[base])
+        while known < size:
+            have[known : 2 * known] = times(have[:known], _U(pow(base, known, PRIME)))
+            known *= 2
         _POWERS[base] = have
     return have[:n]
 
@@ -105,17 +123,55 @@ def runs(is_in: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """H[i] = sum of value(b[j]) * BASE^j over j < i, mod 2^64."""
-    out = np.empty(len(data) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum(BYTE_VALUES[data] * powers(BASE, len(data)), out=out[1:], dtype=np.uint64)
+    """H[i] = sum of (b[j] + 1) * BASE^j over j < i, mod PRIME."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    power = powers(BASE, len(data))
+    for a in range(0, len(data), _SUMMED):
+        part, p = data[a : a + _SUMMED].astype(np.uint64) + _U(1), power[a : a + _SUMMED]
+        low = np.cumsum(part * (p & _LOW31), dtype=np.uint64)
+        high = np.cumsum(part * (p >> _U(31)), dtype=np.uint64)
+        high = (high & _P) + (high >> _U(61))
+        # 2^31 times the upper sum: its bits above the 30th come round at the bottom
+        total = (low & _P) + (low >> _U(61)) + ((high & _U((1 << 30) - 1)) << _U(31)) + (high >> _U(30))
+        out[a + 1 : a + 1 + len(part)] = reduced(total + out[a])
     return out
 
 
+def between(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The polynomials of [start, end) mod PRIME, that don't depend on where the span stands."""
+    return times(reduced(prefix[ends] + _P - prefix[starts]), powers(BASE_INV, len(prefix))[starts])
+
+
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of [start, end) that don't depend on where the span stands."""
-    inv = powers(BASE_INV, len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of [start, end): the polynomial and the length, mixed."""
+    return mix(between(prefix, starts, ends) ^ ((ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
+
+
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
+    """Numbers from 0 that are equal exactly for spans of equal bytes.
+
+    Hashes propose which spans are equal; the bytes of each are compared with those of the first of its number, and
+    if hashes collided, all are numbered by their bytes.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    keys = span_hash(prefix_hash(data) if prefix is None else prefix, starts, ends)
+    _, first, ids = np.unique(keys, return_index=True, return_inverse=True)
+    size = ends - starts
+    ids = ids.astype(np.int64)
+    same = np.array_equal(size, size[first][ids])
+    own = np.flatnonzero(first[ids] != np.arange(len(ids)))
+    for a in range(0, len(own) if same else 0, 1 << 16):
+        rows = own[a : a + (1 << 16)]
+        n = size[rows]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if not np.array_equal(data[np.repeat(starts[rows], n) + step], data[np.repeat(starts[first[ids[rows]]], n) + step]):
+            same = False
+            break
+    if not same:
+        raw, seen = data.tobytes(), {}
+        ids = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+    return ids
 
 
 _ODD = [0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F, 0x91E10DA5C79E7B1D, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03]

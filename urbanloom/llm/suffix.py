@@ -124,18 +124,17 @@ class Extensions:
         self.data, self.places = data, places
         self.left, self.right = places - starts, ends - places
         self.prefix = K.prefix_hash(data)
-        self.inverse = K.powers(K.BASE_INV, len(data) + 1)
 
     def common(self, i: np.ndarray, j: np.ndarray, right: bool) -> np.ndarray:
         room = self.right if right else self.left
         lo, hi = np.zeros(len(i), np.int64), np.minimum(room[i], room[j])
-        a, b, h, inv = self.places[i], self.places[j], self.prefix, self.inverse
+        a, b, h = self.places[i], self.places[j], self.prefix
         for _ in range(int(hi.max(initial=0)).bit_length()):
             mid = (lo + hi + 1) >> 1
             if right:
-                same = (h[a + mid] - h[a]) * inv[a] == (h[b + mid] - h[b]) * inv[b]
+                same = K.between(h, a, a + mid) == K.between(h, b, b + mid)
             else:
-                same = (h[a] - h[a - mid]) * inv[a - mid] == (h[b] - h[b - mid]) * inv[b - mid]
+                same = K.between(h, a - mid, a) == K.between(h, b - mid, b)
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         return lo
 
