@@ -66,3 +66,21 @@ def test_calibration_reads_all_labelled_rows(spark):
 
 def test_upper_bound_of_many_rows():
     assert abs(rules.upper_bound(400_000, 100_000_000, 0.05) - 0.00401) < 1e-5
+
+
+def test_lines_and_words_that_only_hash_alike_are_told_apart():
+    s = "a"
+    while len(s) < 4096:
+        s += s.translate(str.maketrans("ab", "ba"))
+    t = s.translate(str.maketrans("ab", "ba"))
+    for text in (f"{s}\n{t}", f"{s}\n{t}\n{s}", " ".join([s, t, "c", "d", "e", t, s, "c", "d", "e"])):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert tuple(rules.measure(raw, np.array([0, len(raw)]))[:5, 0].tolist()) == brute(text)
+
+
+def test_equal_hashes_are_resolved_by_bytes(monkeypatch):
+    monkeypatch.setattr(K, "span_hash", lambda prefix, a, b: (b - a).astype(np.uint64))
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "d"]) for _ in range(40)) + "\nab\nba\nab" for _ in range(20)]
+    got = np.concatenate([rules.measure(d, o) for _, d, o in K.chunks(pa.array(texts))], axis=1)
+    assert [tuple(c[:5]) for c in got.T.tolist()] == [brute(t) for t in texts]

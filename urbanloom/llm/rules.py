@@ -63,29 +63,34 @@ def measure(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     a, b = a[full], b[full]
     owner = np.searchsorted(offs, a, "right") - 1
     out[8] = np.bincount(owner, minlength=rows)
-    out[3] = out[8] - np.bincount(owner[_firsts(K.span_hash(prefix, a, b), owner)], minlength=rows)
+    out[3] = out[8] - np.bincount(owner[_firsts(K.exact_ids(data, a, b, prefix), owner)], minlength=rows)
     if len(starts):
-        words = K.span_hash(prefix, starts, ends)
+        words = K.exact_ids(data, starts, ends, prefix)
         out[6] = np.bincount(row[1:][(words[1:] == words[:-1]) & (row[1:] == row[:-1])], minlength=rows)
         if len(words) >= WINDOW:
             inside = row[WINDOW - 1 :] == row[: len(row) - WINDOW + 1]
             at = np.flatnonzero(inside)
-            keys = K.mix(K.window_hash(words, WINDOW)[at] + row[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            keys = K.mix(K.window_hash(words.astype(np.uint64), WINDOW)[at] + row[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             order = np.argsort(keys, kind="stable")
             same = keys[order][1:] == keys[order][:-1]
             twice = np.zeros(len(keys), bool)
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
+            # windows whose hashes agree, told apart by their words
+            at = at[twice]
+            whole = np.stack([row[at], *(words[at + j] for j in range(WINDOW))], axis=1)
+            _, which, times = np.unique(whole, axis=0, return_inverse=True, return_counts=True)
+            at = at[times[which.reshape(-1)] > 1]
             step = np.zeros(len(words) + 1, np.int64)
-            np.add.at(step, at[twice], 1)
-            np.add.at(step, at[twice] + WINDOW, -1)
+            np.add.at(step, at, 1)
+            np.add.at(step, at + WINDOW, -1)
             out[4] = np.bincount(row[np.cumsum(step[:-1]) > 0], minlength=rows)
     return out
 
 
-def _firsts(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Index of the first occurrence of each (owner, key)."""
-    return np.unique(K.mix(keys + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+def _firsts(ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Index of the first occurrence of each (owner, id)."""
+    return np.unique(owner * (int(ids.max(initial=0)) + 1) + ids, return_index=True)[1]
 
 
 def measures(df: DataFrame, carry: tuple[str, ...], text_col: str = "text") -> DataFrame:
