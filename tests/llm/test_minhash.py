@@ -79,3 +79,30 @@ def test_components(spark):
     out = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert out == {**{i: 0 for i in range(31)}, 100: 100, 101: 100}
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_different_texts_never_share_a_class(spark, n):
+    df = spark.createDataFrame(list(enumerate(thue_morse(n), 1)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()) == [(1, 1, True), (2, 2, True)]
+
+
+def test_near_copies_without_ids_are_linked(spark):
+    base = [f"w{i}" for i in range(300)]
+    rows = [(7, " ".join(base)), (None, " ".join([*base[:299], "x"])), (3, " ".join(["y", *base[1:]])), (None, "alone in the world"), (9, "")]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.n_shingles) for r in out) == [("3", "3", 296), ("7", "3", 296), ("9", "9", 0), ("None", "3", 296), ("None", "None", 1)]
+
+
+def test_one_class_and_one_component_with_most_rows(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base)) for i in range(100, 160)] + [(i, " ".join([*base[: i % 200], f"v{i}", *base[i % 200 + 1 :]])) for i in range(200, 260)] + [(i, f"other {i}") for i in range(20)]
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {**{i: 100 for i in [*range(100, 160), *range(200, 260)]}, **{i: i for i in range(20)}}

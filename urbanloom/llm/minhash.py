@@ -10,6 +10,9 @@ least class (its hub) is compared with the others, which joins the bulk of large
 then, in buckets that still hold several components, blocks of members are compared with blocks of other components.
 All comparisons count whole shingle sets. With 36 bands of 5 rows a pair of similarity 0.8 misses all bands with
 probability below 1e-6.
+
+Words are hashed by a polynomial modulo a prime (``kernels.span_hash``) and shingles by mixing their words' hashes, 64 bits
+each; that two different shingles of a pair of texts agree has a chance of about 1e-19, so counts are of whole sets.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.core.skew import spread_join
 from urbanloom.llm import kernels as K
 from urbanloom.llm.graph import components
 from urbanloom.llm.storage import stored
@@ -74,38 +78,45 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def set_hash(hashes: np.ndarray) -> tuple[int, int]:
+def set_hash(hashes: np.ndarray) -> bytes:
     """128 bits of a set, whatever its order."""
-    return tuple(int(K.mix(hashes, s).sum(dtype=np.uint64).view(np.int64)) for s in (21, 22))
+    return b"".join(int(K.mix(hashes, s).sum(dtype=np.uint64)).to_bytes(8, "big") for s in (21, 22))
 
 
 def _signed(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(id, n, c, bands, s) of each row: size, digest and bands of its set, and the set itself where the id is null."""
+
     def run(batches):
         for batch in batches:
+            missing = batch.column(0).is_null().to_pylist()
             for a, data, offs in K.chunks(batch.column(1)):
                 sets = shingles(data, offs, k)
-                keys = [set_hash(s) if len(s) else (None, None) for s in sets]
                 lists = [bands(signature(s)).view(np.int64) if len(s) else None for s in sets]
-                yield pa.record_batch([batch.column(0).slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["id", "n", "c", "c2", "bands"])
+                own = [s.tobytes() if len(s) and missing[a + i] else None for i, s in enumerate(sets)]
+                yield pa.record_batch([batch.column(0).slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(own, pa.binary())], names=["id", "n", "c", "bands", "s"])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {id_type}, n long, c long, c2 long, bands array<long>")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {id_type}, n long, c binary, bands array<long>, s binary")
 
 
-def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(c, set) for the classes of ``wanted`` (c, id): the sets of those ids' texts, sorted hashes as bytes."""
+def _sets(df: DataFrame, signed: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(c, s) for the classes of ``wanted`` (c, id, digest): their sets, sorted hashes as bytes.
+
+    Sets are made anew from the texts of the classes' ids; classes without an id have them in ``signed``.
+    """
 
     def run(batches):
         for batch in batches:
-            expected = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, data, offs in K.chunks(batch.column(1)):
+            numbers, expected = batch.column(0), batch.column(1).to_pylist()
+            for a, data, offs in K.chunks(batch.column(2)):
                 sets = shingles(data, offs, k)
-                own = [set_hash(s)[0] if len(s) else None for s in sets]
-                at = [i for i, c in enumerate(own) if c is not None and c == expected[a + i]]
-                yield pa.record_batch([pa.array([own[i] for i in at], pa.int64()), pa.array([sets[i].tobytes() for i in at], pa.binary())], names=["c", "s"])
+                at = [i for i, s in enumerate(sets) if len(s) and set_hash(s) == expected[a + i]]
+                yield pa.record_batch([numbers.take(pa.array([a + i for i in at], pa.int64())), pa.array([sets[i].tobytes() for i in at], pa.binary())], names=["c", "s"])
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return texts.join(wanted, "id").select("c", "t").mapInArrow(run, "c long, s binary")
+    made = texts.join(wanted, "id").select("c", "digest", "t").mapInArrow(run, "c long, s binary")
+    kept = signed.where("id is null and c is not null").select(F.col("c").alias("digest"), "s").join(wanted.where("id is null").select("c", "digest"), "digest").select("c", "s")
+    return made.unionByName(kept).groupBy("c").agg(F.first("s").alias("s"))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -171,9 +182,10 @@ def block_links(groups: list[tuple[int, int, np.ndarray]], percent: int) -> list
 def _across(buckets: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components that share a bucket."""
     members = buckets.join(comp.withColumnRenamed("node", "c"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("comp"))
-    counts = members.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("h"))
-    several = counts.groupBy("key").agg(F.sum("m").alias("m"), F.max_by("comp", "m").alias("top"), F.max("m").alias("m_top"), F.sum("h").alias("h"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-    once = several.groupBy("m", "h").agg(F.min(F.struct("key", "top", "m_top")).alias("b")).select("b.key", "b.top", F.ceil(F.col("b.m_top") / BLOCK).cast("int").alias("q_top"), F.ceil((F.col("m") - F.col("b.m_top")) / BLOCK).cast("int").alias("q_rest"))
+    counts = members.groupBy("key", "comp").agg(F.count("*").alias("m"), *(F.sum(F.xxhash64("c", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in (2, 3)))
+    several = counts.groupBy("key").agg(F.sum("m").alias("m"), F.max_by("comp", "m").alias("top"), F.max("m").alias("m_top"), F.sum("h2").alias("h2"), F.sum("h3").alias("h3"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    # buckets of the same members, by their number and two sums of hashes (128 bits), are compared once
+    once = several.groupBy("m", "h2", "h3").agg(F.min(F.struct("key", "top", "m_top")).alias("b")).select("b.key", "b.top", F.ceil(F.col("b.m_top") / BLOCK).cast("int").alias("q_top"), F.ceil((F.col("m") - F.col("b.m_top")) / BLOCK).cast("int").alias("q_rest"))
     h = F.xxhash64("c", F.lit(1))
     placed = members.join(once, "key").withColumn("mine", F.when(F.col("comp") == F.col("top"), F.pmod(h, F.col("q_top"))).otherwise(F.col("q_top") + F.pmod(h, F.col("q_rest"))).cast("int"))
     # two blocks meet unless both are of the largest component; equal numbers mean a block by itself
@@ -206,26 +218,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words are runs without white space, ASCII letters lower-cased; a text's set has its distinct ``shingle``-word
     shingles, the whole sequence if it has fewer words. Null and empty texts have an empty set and are linked with
-    nothing: their component is their own id. Rows of a null id belong to the component of an equal text with an id,
-    but never give a component its id; where all ids are null, equal texts make a component of a null id, and such rows are kept. Repeated rows share a component,
+    nothing: their component is their own id. Rows of a null id are linked like others but never give a component its id;
+    where all ids of a component are null, its id is null, and such rows are kept. Repeated rows share a component,
     as equal texts do, and rows that repeat a kept id are kept alike. Extra columns are not read.
     """
     ship(df.sparkSession)
     signed = stored(_signed(df, id_col, text_col, shingle), "signed")
-    classes = signed.where("c is not null").groupBy("c", "c2", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    banded = classes.where("id is not null").select("c", "id", "n", F.explode("bands").alias("key"))
+    classes = signed.where("c is not null").groupBy(F.col("c").alias("digest")).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    # classes are numbered as they are written, so different sets never share a number
+    classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    banded = classes.select("c", "n", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("c", "n")).alias("hub")).where("m > 1")
-    buckets = stored(banded.join(hubs, "key").select("key", "c", "id", "n", F.col("hub.c").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
-    sets = stored(_sets(df, buckets.select("c", "id").distinct(), id_col, text_col, shingle).groupBy("c").agg(F.first("s").alias("s")), "sets")
+    buckets = stored(banded.join(hubs, "key").select("key", "c", "n", F.col("hub.c").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
+    wanted = classes.join(buckets.select("c").distinct(), "c").select("c", "id", "digest")
+    sets = stored(_sets(df, signed, wanted, id_col, text_col, shingle), "sets")
     near = buckets.where(f"c <> hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.col("hub").alias("u"), F.col("c").alias("v")).distinct()
     links = stored(_verified(near, sets, percent), "verified")
     comp = components(links)
     more = stored(_across(buckets.select("key", "c"), comp, sets, percent), "across")
     if not more.isEmpty():
         comp = components(links.unionByName(more))
-    # the least id of each component, over all rows of its classes
-    placed = signed.select("id", "n", "c").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    least = placed.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
-    component_id = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least"))
-    out = placed.join(least, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component_id.alias("component_id"))
+    # the least id of each component, over its classes, then of each class; a component or class may be most of the rows
+    linked = stored(comp.withColumnRenamed("node", "c").join(classes.select("c", "id"), "c"), "linked")
+    sums = linked.groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    least = spread_join(linked.select("c", "component"), sums.select("component", "least"), "component", sums.select("component", "n"))
+    placed = classes.select("c", "id", "digest").join(least.select("c", "least", F.lit(True).alias("linked")), "c", "left")
+    placed = placed.select(F.col("digest").alias("c"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("id")).alias("component"))
+    rows = spread_join(signed.select("id", "n", "c"), placed, "c", classes.select(F.col("digest").alias("c"), F.col("copies").alias("n")))
+    component_id = F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component"))
+    out = rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component_id.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
