@@ -30,13 +30,11 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("group", [50_000, 1])
-def test_equals_brute_force(spark, seed, group):
-    if group == 1 and seed:
-        pytest.skip("one corpus is enough for the counted path")
+@pytest.mark.parametrize("split, group", [(256, 50_000), (1, 50_000), (1, 1)])
+def test_equals_brute_force(spark, seed, split, group):
     texts = corpus(seed)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.digests(suffix.remove_repeats(df, window=40, gram=10, group=group)).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.digests(suffix.remove_repeats(df, window=40, gram=10, split=split, group=group)).collect()}
     want = brute([t.encode() for t in texts], 40)
     assert [got[i] for i in range(len(texts))] == want
 
@@ -63,3 +61,26 @@ def test_plain_comparison_agrees():
     order = suffix.Extensions(data, starts, places, ends).sort(np.zeros(40, np.int64), True)
     tails = [raw[i][raw[i].index(b"ANCHOR") :] for i in order]
     assert tails == sorted(tails)
+
+
+def test_passages_that_repeat_across_documents_go_and_clean_ones_stay(spark):
+    # passages of over 50 words, 400 bytes and more, each in several documents; shorter ones must stay
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(5, 12)))
+    passage = [" ".join(word() for _ in range(60)) for _ in range(4)] + [" ".join(word() for _ in range(8))]
+    assert all(len(p) >= 400 for p in passage[:4]) and len(passage[4]) < 400
+    own = lambda: " ".join(word() for _ in range(rng.randrange(5, 60)))
+    rows, held = [], {}
+    for i in range(60):
+        inside = [passage[rng.randrange(5)]] if i % 2 else []
+        rows.append((i, " ".join([own(), *inside, own()])))
+        held[i] = [p for p in inside if len(p) >= 400]
+    found = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in found:
+        text = dict(rows)[r.doc_id].encode()
+        for p in held[r.doc_id]:
+            at = text.index(p.encode())
+            assert any(s.a <= at and at + len(p) <= s.b for s in r.spans)
+        if not held[r.doc_id]:
+            assert not r.spans
+    assert sum(bool(r.spans) for r in found) == sum(map(bool, held.values()))

@@ -20,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.core.skew import spread_join
 from urbanloom.llm import kernels as K
 from urbanloom.llm.storage import stored
 from urbanloom.session import ship
 
 #: Bytes of a string that counts as repeated, and of a gram.
 WINDOW, GRAM = 400, 100
-#: Contexts of one anchor that are compared in one task; of larger groups each stretch is counted on its own.
-GROUP = 50_000
+#: Contexts of one anchor that are sorted together; larger groups are split by the bytes about the anchor, in
+#: steps of STEP, so that whoever shares a string meets in some part. Parts of more than GROUP contexts are split by
+#: single bytes, where all of a part share a whole string and nothing is left to sort.
+SPLIT, STEP, GROUP = 256, 100, 50_000
 _SMALL = 1 << 18
 
 
@@ -267,22 +270,46 @@ def _compared(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("g", "ch", "lead", "c").repartition("g").sortWithinPartitions("g", "ch").mapInArrow(run, "g long, ch binary, l long, r long")
 
 
-def _counted(rows: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with more contexts than a task should hold: each stretch's digest is counted by itself."""
+def _split(rows: DataFrame, window: int, gram: int, step: int) -> DataFrame:
+    """(g, ch, lead, c) with each group split into parts, of which a context may be in several.
+
+    Contexts that share a string have l equal bytes before the anchor's gram and window - gram - l after it. With
+    k = l // step they have at least k * step before it and more than window - gram - (k + 1) * step after it, so
+    these bytes name part k; a context is in all parts that it has the bytes for.
+    """
+    around = window - gram
 
     def run(batches):
         for batch in batches:
-            g, ch, lead, c = (x.to_pylist() for x in batch.columns)
             out: list[list] = [[], [], [], []]
-            for i, raw in enumerate(c):
-                for s in range(len(raw) - window + 1):
-                    for o, v in zip(out, (g[i], ch[i], lead[i] - s, hashlib.blake2b(raw[s : s + window], digest_size=16).digest())):
+            for g, ch, lead, c in zip(*(x.to_pylist() for x in batch.columns)):
+                for k in range(around // step + 1):
+                    left, right = k * step, max(0, around - (k + 1) * step + 1)
+                    if left <= lead and lead + gram + right <= len(c):
+                        part = hashlib.blake2b(c[lead - left : lead + gram + right], digest_size=8, salt=k.to_bytes(2, "little"), key=g.to_bytes(8, "little", signed=True)).digest()
+                        for o, v in zip(out, (int.from_bytes(part, "little", signed=True), ch, lead, c)):
+                            o.append(v)
+            yield pa.record_batch([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names=["g", "ch", "lead", "c"])
+
+    return rows.select("g", "ch", "lead", "c").mapInArrow(run, "g long, ch binary, lead long, c binary")
+
+
+def _counted(rows: DataFrame, window: int) -> DataFrame:
+    """The same for parts split by single bytes: each stretch is a part of its own, named by its digest and place."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for ch, lead, c in zip(*(x.to_pylist() for x in batch.columns)):
+                for s in range(len(c) - window + 1):
+                    for o, v in zip(out, (ch, lead - s, hashlib.blake2b(c[s : s + window], digest_size=16, salt=(lead - s).to_bytes(8, "little", signed=True)).digest())):
                         o.append(v)
-            yield pa.record_batch([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names=["g", "ch", "before", "d"])
+            yield pa.record_batch([pa.array(o, t) for o, t in zip(out, (pa.binary(), pa.int64(), pa.binary()))], names=["ch", "before", "d"])
 
-    each = rows.select("g", "ch", "lead", "c").mapInArrow(run, "g long, ch binary, before long, d binary")
-    twice = each.groupBy("g", "before", "d").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    return each.join(twice, ["g", "before", "d"]).groupBy("g", "ch").agg(F.max("before").alias("l"), (F.lit(window) - F.min("before")).alias("r"))
+    each = stored(rows.select("ch", "lead", "c").mapInArrow(run, "ch binary, before long, d binary").distinct(), "stretches")
+    counts = each.groupBy("d").agg(F.count("*").alias("n"))
+    twice = counts.where("n > 1").select("d")
+    return spread_join(each, twice, "d", counts, "inner").groupBy("ch").agg(F.max("before").alias("l"), (F.lit(window) - F.min("before")).alias("r"))
 
 
 def _cut(held: DataFrame) -> DataFrame:
@@ -310,22 +337,22 @@ def _cut(held: DataFrame) -> DataFrame:
 
 
 def _slices(held: DataFrame) -> DataFrame:
-    """(g, ch, lead, c): the bytes of the contexts listed in ``want`` for each text."""
+    """(g, ch, lead, c, size): the bytes of the contexts listed in ``want`` for each text."""
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for t, want in zip(batch.column(0), batch.column(1).to_pylist()):
                 raw = t.as_buffer().to_pybytes()
                 for w in want:
-                    for o, v in zip(out, (w["g"], w["ch"], w["p"] - w["lo"], raw[w["lo"] : w["hi"]])):
+                    for o, v in zip(out, (w["g"], w["ch"], w["p"] - w["lo"], raw[w["lo"] : w["hi"]], w["size"])):
                         o.append(v)
-            yield pa.record_batch([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names=["g", "ch", "lead", "c"])
+            yield pa.record_batch([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()))], names=["g", "ch", "lead", "c", "size"])
 
-    return held.select("t", "want").mapInArrow(run, "g long, ch binary, lead long, c binary")
+    return held.select("t", "want").mapInArrow(run, "g long, ch binary, lead long, c binary, size long")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, split: int = SPLIT, group: int = GROUP) -> DataFrame:
     """``id_col``, ``n_bytes``, ``spans`` (removed runs of bytes), ``kept_sha256`` and ``copies`` for each row.
 
     A byte goes if a string of ``window`` bytes that covers it also starts anywhere else, in the same text or another.
@@ -334,23 +361,25 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Extra columns are not read. Each row's work depends on distinct texts only, so groups of copies cost nothing more.
     """
     ship(df.sparkSession)
-    seen, results = _solve(df, id_col, text_col, window, gram, group)
-    copies = seen.where(F.col("n") >= window).groupBy("sha").agg(F.count("*").alias("copies"))
-    digest = results.select("sha", F.col("spans").alias("s"), F.sha2("kept", 256).alias("k"))
-    rows = seen.select("id", "sha", "n").join(copies, "sha", "left").join(digest, "sha", "left")
-    whole = F.coalesce(F.col("copies") > 1, F.lit(False))
-    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
+    seen, results = _solve(df, id_col, text_col, window, gram, split, group)
+    long, short = seen.where(F.col("n") >= window), seen.where(F.col("n") < window)
+    copies = long.groupBy("sha").agg(F.count("*").alias("copies"))
+    known = copies.join(results.select("sha", F.col("spans").alias("s"), F.sha2("kept", 256).alias("k")), "sha", "left")
+    rows = spread_join(long.select("id", "sha", "n"), known, "sha", copies.withColumnRenamed("copies", "n"))
+    whole = F.col("copies") > 1
     none = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
-    return rows.select(
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
+    found = rows.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_bytes"),
         F.when(whole, all_of_it).otherwise(F.coalesce("s", none)).alias("spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("k", F.lower(F.hex("sha")))).alias("kept_sha256"),
-        F.coalesce("copies", F.lit(1)).alias("copies"),
+        "copies",
     )
+    return found.unionByName(short.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), none.alias("spans"), F.lower(F.hex("sha")).alias("kept_sha256"), F.lit(1).cast("long").alias("copies")))
 
 
-def _solve(df: DataFrame, id_col: str, text_col: str, window: int, gram: int, group: int) -> tuple[DataFrame, DataFrame]:
+def _solve(df: DataFrame, id_col: str, text_col: str, window: int, gram: int, split: int, group: int) -> tuple[DataFrame, DataFrame]:
     """(id, sha, n, ..) of all rows, and (sha, spans, kept) of the texts without copies that lose bytes."""
     seen = stored(_prepared(df, id_col, text_col, window, gram), "seen")
     short = F.xxhash64("sha")
@@ -362,29 +391,35 @@ def _solve(df: DataFrame, id_col: str, text_col: str, window: int, gram: int, gr
     whole = _texts(df, id_col, text_col).withColumn("sha", F.unhex(F.sha2(F.col("t").cast("binary"), 256)))
     held = stored(whole.join(own.withColumnRenamed("id", "i"), (whole["sha"] == own["sha"]) & whole["id"].eqNullSafe(F.col("i"))).select(own["sha"], "copies", "grams", F.col("t").cast("binary").alias("t")), "held")
     found = stored(_contexts(held, window, gram), "contexts")
-    kinds = found.groupBy("g", "ch").agg(F.sum("m").alias("m"), F.min(F.struct("sha", "p", "lo", "hi")).alias("one"))
-    kinds = stored(kinds.select("g", "ch", "m", "one.*"), "kinds")
+    # a context's digest covers its bytes and the anchor's place, hence the gram as well
+    kinds = found.groupBy("ch").agg(F.first("g").alias("g"), F.sum("m").alias("m"), F.count("*").alias("n"), F.min(F.struct("sha", "p", "lo", "hi")).alias("one"))
+    kinds = stored(kinds.select("g", "ch", "m", "n", "one.*"), "kinds")
     several = kinds.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
-    want = kinds.join(several, "g").groupBy("sha").agg(F.collect_list(F.struct("g", "ch", "p", "lo", "hi")).alias("want"))
+    chosen = spread_join(kinds.select("g", "ch", "sha", "p", "lo", "hi"), several, "g", several.withColumnRenamed("size", "n"), "inner")
+    want = chosen.groupBy("sha").agg(F.collect_list(F.struct("g", "ch", "p", "lo", "hi", "size")).alias("want"))
     slices = stored(_slices(held.join(want, "sha")), "slices")
-    large = several.where(F.col("size") > group).select("g")
-    covered = _compared(slices.join(large, "g", "left_anti"), window)
-    if not large.isEmpty():
-        covered = covered.unionByName(_counted(slices.join(large, "g", "left_semi"), window))
-    whole_contexts = found.join(kinds.where("m > 1").select("g", "ch"), ["g", "ch"]).select("sha", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    parts = found.join(covered, ["g", "ch"]).select("sha", (F.col("p") - F.col("l")).alias("a"), (F.col("p") + F.col("r")).alias("b"))
-    spans = whole_contexts.unionByName(parts).groupBy("sha").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    parts = stored(_split(slices.where(F.col("size") > split), window, gram, min(STEP, max(1, (window - gram) // 3))), "parts")
+    sizes = stored(parts.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    parts = spread_join(parts, sizes, "g", sizes, "inner")
+    covered = _compared(slices.where(F.col("size") <= split).unionByName(parts.where(F.col("n") <= group).drop("n"), True), window).select("ch", "l", "r")
+    if not sizes.where(F.col("n") > group).isEmpty():
+        covered = covered.unionByName(_counted(parts.where(F.col("n") > group), window))
+    covered = covered.groupBy("ch").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    known = kinds.select("ch", F.when(F.col("m") > 1, True).alias("whole")).join(covered, "ch", "left").where("whole or r is not null")
+    hit = spread_join(found.select("ch", "sha", "p", "lo", "hi"), known, "ch", kinds.select("ch", "n"), "inner")
+    hit = hit.select("sha", F.when(F.col("whole"), F.col("lo")).otherwise(F.col("p") - F.col("l")).alias("a"), F.when(F.col("whole"), F.col("hi")).otherwise(F.col("p") + F.col("r")).alias("b"))
+    spans = hit.groupBy("sha").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     results = stored(_cut(held.where("copies = 1").join(spans, "sha")), "results")
     return seen, results
 
 
-def remaining(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def remaining(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, split: int = SPLIT, group: int = GROUP) -> DataFrame:
     """``id_col`` and ``kept`` (binary): the bytes that ``remove_repeats`` leaves of each row's text."""
     ship(df.sparkSession)
-    seen, results = _solve(df, id_col, text_col, window, gram, group)
+    seen, results = _solve(df, id_col, text_col, window, gram, split, group)
     copied = seen.where(F.col("n") >= window).groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1")
     rows = _texts(df, id_col, text_col).withColumn("sha", F.unhex(F.sha2(F.col("t").cast("binary"), 256)))
-    rows = rows.join(copied, "sha", "left").join(results.select("sha", "kept"), "sha", "left")
+    rows = spread_join(rows, copied, "sha", seen.groupBy("sha").agg(F.count("*").alias("n"))).join(results.select("sha", "kept"), "sha", "left")
     return rows.select(F.col("id").alias(id_col), F.when(F.col("copies") > 1, F.lit("").cast("binary")).otherwise(F.coalesce("kept", F.col("t").cast("binary"))).alias("kept"))
 
 
