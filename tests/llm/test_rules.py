@@ -79,7 +79,7 @@ def test_lines_and_words_that_only_hash_alike_are_told_apart():
 
 
 def test_equal_hashes_are_resolved_by_bytes(monkeypatch):
-    monkeypatch.setattr(K, "span_hash", lambda prefix, a, b: (b - a).astype(np.uint64))
+    monkeypatch.setattr(K, "span_hash", lambda data, a, b: (b - a).astype(np.uint64))
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["aa", "bb", "cc", "d"]) for _ in range(40)) + "\nab\nba\nab" for _ in range(20)]
     got = np.concatenate([rules.measure(d, o) for _, d, o in K.chunks(pa.array(texts))], axis=1)

@@ -18,8 +18,8 @@ PRIME = (1 << 61) - 1
 BASE = int(np.random.Generator(np.random.PCG64(20240607)).integers(1 << 58, 1 << 60))
 BASE_INV = pow(BASE, -1, PRIME)
 _P, _LOW31 = _U(PRIME), _U((1 << 31) - 1)
-#: Bytes whose 39-bit products can be summed in 64 bits.
-_SUMMED = 1 << 24
+#: Bytes that are hashed at a time: their 39-bit products can be summed in 64 bits, and the work fits a core's cache.
+_SUMMED = 1 << 18
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -40,9 +40,9 @@ def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) mod PRIME, kept and grown for each base."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        have = np.ones(size, np.uint64) if have is None else np.concatenate([have, np.ones(size - len(have), np.uint64)])
-        known = 1 if base not in _POWERS else len(_POWERS[base])
+        size = 1 << max(12, (n - 1).bit_length())
+        known = 1 if have is None else len(have)
+        have = np.concatenate([np.ones(1, np.uint64) if have is None else have, np.empty(size - known, np.uint64)])
         while known < size:
             have[known : 2 * known] = times(have[:known], _U(pow(base, known, PRIME)))
             known *= 2
@@ -122,41 +122,57 @@ def runs(is_in: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """H[i] = sum of (b[j] + 1) * BASE^j over j < i, mod PRIME."""
+def _folded(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """low + 2^31 * high mod PRIME for sums of products; the upper sum's bits above the 30th come round at the bottom."""
+    high = (high & _P) + (high >> _U(61))
+    return reduced((low & _P) + (low >> _U(61)) + ((high & _U((1 << 30) - 1)) << _U(31)) + (high >> _U(30)))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end), none of which is empty: sum of (byte + 1) * BASE^place mod PRIME, mixed
+    with the length. The work follows the spans' bytes, some of them at a time."""
+    out = np.empty(len(starts), np.uint64)
+    size = ends - starts
+    upto = np.concatenate([[0], np.cumsum(size)])
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + _SUMMED, "right")) - 1)
+        begin = upto[a:b] - upto[a]
+        place = np.arange(upto[b] - upto[a]) - np.repeat(begin, size[a:b])
+        value = data[np.repeat(starts[a:b], size[a:b]) + place].astype(np.uint64) + _U(1)
+        power = powers(BASE, int(size[a:b].max()))[place]
+        out[a:b] = _folded(np.add.reduceat(value * (power & _LOW31), begin), np.add.reduceat(value * (power >> _U(31)), begin))
+        a = b
+    return mix(out ^ (size.astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
+
+
+def prefix_hash(data: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """H[i] = sum of (b[j] + 1) * BASE^place[j] over j < i, mod PRIME; a byte's place is its index unless given."""
     out = np.zeros(len(data) + 1, np.uint64)
-    power = powers(BASE, len(data))
+    power = powers(BASE, int(place.max(initial=0)) + 1 if place is not None else len(data))
     for a in range(0, len(data), _SUMMED):
-        part, p = data[a : a + _SUMMED].astype(np.uint64) + _U(1), power[a : a + _SUMMED]
-        low = np.cumsum(part * (p & _LOW31), dtype=np.uint64)
-        high = np.cumsum(part * (p >> _U(31)), dtype=np.uint64)
-        high = (high & _P) + (high >> _U(61))
-        # 2^31 times the upper sum: its bits above the 30th come round at the bottom
-        total = (low & _P) + (low >> _U(61)) + ((high & _U((1 << 30) - 1)) << _U(31)) + (high >> _U(30))
+        part = data[a : a + _SUMMED].astype(np.uint64) + _U(1)
+        p = power[a : a + len(part)] if place is None else power[place[a : a + len(part)]]
+        total = _folded(np.cumsum(part * (p & _LOW31), dtype=np.uint64), np.cumsum(part * (p >> _U(31)), dtype=np.uint64))
         out[a + 1 : a + 1 + len(part)] = reduced(total + out[a])
     return out
 
 
-def between(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The polynomials of [start, end) mod PRIME, that don't depend on where the span stands."""
-    return times(reduced(prefix[ends] + _P - prefix[starts]), powers(BASE_INV, len(prefix))[starts])
-
-
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of [start, end): the polynomial and the length, mixed."""
-    return mix(between(prefix, starts, ends) ^ ((ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
+def between(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """The polynomials of [start, end) mod PRIME, that don't depend on where the span stands (``place`` of its start)."""
+    place = starts if place is None else place
+    return times(reduced(prefix[ends] + _P - prefix[starts]), powers(BASE_INV, int(place.max(initial=0)) + 1)[place])
 
 
-def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Numbers from 0 that are equal exactly for spans of equal bytes.
 
     Hashes propose which spans are equal; the bytes of each are compared with those of the first of its number, and
-    if hashes collided, all are numbered by their bytes.
+    if hashes collided, all are numbered by their bytes. No span is empty.
     """
     if not len(starts):
         return np.zeros(0, np.int64)
-    keys = span_hash(prefix_hash(data) if prefix is None else prefix, starts, ends)
-    _, first, ids = np.unique(keys, return_index=True, return_inverse=True)
+    _, first, ids = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
     size = ends - starts
     ids = ids.astype(np.int64)
     same = np.array_equal(size, size[first][ids])

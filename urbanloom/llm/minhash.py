@@ -41,7 +41,7 @@ def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each row; fewer words than k make one shingle, no words make none."""
     low = K.LOWER[data]
     starts, ends, first = K.runs(~K.SPACE[low], offs)
-    words = K.span_hash(K.prefix_hash(low), starts, ends)
+    words = K.span_hash(low, starts, ends)
     grams = K.window_hash(words, k)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):

@@ -45,7 +45,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(len(offs), np.int64), np.zeros(len(offs) - 1, np.int64)
     row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    text = K.span_hash(K.prefix_hash(K.LOWER[data]), starts, ends)
+    text = K.span_hash(K.LOWER[data], starts, ends)
 
     def some(chars: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(chars[data], dtype=np.int64)])

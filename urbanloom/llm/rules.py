@@ -55,7 +55,6 @@ def measure(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     out[2] = total(_SYMBOL[data])
     out[5] = total(_UPPER[data])
     out[7] = total(_MARK[data])
-    prefix = K.prefix_hash(data)
     row = np.repeat(np.arange(rows), out[0])
     # lines with a word: a line is a run without \n that holds the start of a word
     a, b, lines = K.runs(data != 10, offs)
@@ -63,9 +62,9 @@ def measure(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     a, b = a[full], b[full]
     owner = np.searchsorted(offs, a, "right") - 1
     out[8] = np.bincount(owner, minlength=rows)
-    out[3] = out[8] - np.bincount(owner[_firsts(K.exact_ids(data, a, b, prefix), owner)], minlength=rows)
+    out[3] = out[8] - np.bincount(owner[_firsts(K.exact_ids(data, a, b), owner)], minlength=rows)
     if len(starts):
-        words = K.exact_ids(data, starts, ends, prefix)
+        words = K.exact_ids(data, starts, ends)
         out[6] = np.bincount(row[1:][(words[1:] == words[:-1]) & (row[1:] == row[:-1])], minlength=rows)
         if len(words) >= WINDOW:
             inside = row[WINDOW - 1 :] == row[: len(row) - WINDOW + 1]

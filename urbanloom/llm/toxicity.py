@@ -176,7 +176,7 @@ class Model:
         wanted = np.flatnonzero((b - a >= LENGTH) & self.candidates(kept, a, b))
         if not len(wanted):
             return out
-        keys, first, inverse = np.unique(K.span_hash(K.prefix_hash(kept), a[wanted], b[wanted]), return_index=True, return_inverse=True)
+        keys, first, inverse = np.unique(K.span_hash(kept, a[wanted], b[wanted]), return_index=True, return_inverse=True)
         got = np.array([known.get(k, np.nan) for k in keys.tolist()], np.float32)
         new = np.flatnonzero(np.isnan(got))
         if len(new):
@@ -200,7 +200,7 @@ class Model:
         if not len(a):
             return out
         # each distinct word once
-        _, first, inverse = np.unique(K.span_hash(K.prefix_hash(kept), a, b), return_index=True, return_inverse=True)
+        _, first, inverse = np.unique(K.span_hash(kept, a, b), return_index=True, return_inverse=True)
         score = self.word_scores(kept, a[first], b[first], known)[inverse]
         for i, level in enumerate(LEVELS):
             high = np.bincount(row[score > level], minlength=rows)
