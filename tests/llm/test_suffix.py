@@ -84,3 +84,13 @@ def test_passages_that_repeat_across_documents_go_and_clean_ones_stay(spark):
         if not held[r.doc_id]:
             assert not r.spans
     assert sum(bool(r.spans) for r in found) == sum(map(bool, held.values()))
+
+
+def test_long_texts_are_read_in_slices(monkeypatch):
+    rng = random.Random(4)
+    raw = bytes(rng.choice(b"abcd") for _ in range(3000)) + b"x" * 500 + bytes(rng.choice(b"ab") for _ in range(700))
+    data, offs = np.frombuffer(raw, np.uint8), np.array([0, 900, 900, 930, len(raw)])
+    whole = suffix.anchors(data, offs, 40, 10)
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(suffix, "SLICE", size)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, suffix.anchors(data, offs, 40, 10)))

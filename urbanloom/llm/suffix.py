@@ -30,18 +30,35 @@ WINDOW, GRAM = 400, 100
 #: Contexts of one anchor that are sorted together; larger groups are split by the bytes about the anchor, in
 #: steps of STEP, so that whoever shares a string meets in some part. Parts of more than GROUP contexts are split by
 #: single bytes, where all of a part share a whole string and nothing is left to sort.
-SPLIT, STEP, GROUP = 256, 100, 50_000
+SPLIT, STEP, GROUP = 256, 100, 20_000
 _SMALL = 1 << 18
+#: Starts of stretches that are looked at together, however long a text is, and bytes of contexts that are compared at a time.
+SLICE, HELD = 1 << 20, 2 << 20
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For runs of stretches with one anchor: the anchor's place, the first and the last stretch's start, the gram's hash."""
+    """For runs of stretches with one anchor: the anchor's place, the first and the last stretch's start, the gram's hash.
+
+    A stretch's anchor depends on its own bytes alone, so long texts are read slice by slice; a run that a slice's end
+    cuts in two is put together again.
+    """
+    parts = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))]
+    for a in range(0, max(len(data) - window + 1, 0), SLICE):
+        own = data[a : a + SLICE + window - 1]
+        p, lo, hi, h = _anchors(own, np.unique(np.clip(offs - a, 0, len(own))), window, gram)
+        parts.append((p + a, lo + a, hi + a, h))
+    p, lo, hi, h = (np.concatenate(x) for x in zip(*parts))
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]) | (lo[1:] != hi[:-1] + 1)
+    last = np.ones(len(p), bool)
+    last[:-1] = new[1:]
+    return p[new], lo[new], hi[last], h[new]
+
+
+def _anchors(data: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
-    none = np.zeros(0, np.int64)
-    if n < window:
-        return none, none, none, np.zeros(0, np.uint64)
     at = np.arange(n - gram + 1)
-    h = K.span_hash(K.prefix_hash(data), at, at + gram)
+    h = K.mix(K.between(K.prefix_hash(data), at, at + gram))
     key = (h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     width, size = window - gram + 1, 1
     while 2 * size <= width:
@@ -61,8 +78,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple
     lo = np.flatnonzero(first)
     last = valid.copy()
     last[:-1] &= first[1:] | ~valid[1:]
-    hi = np.flatnonzero(last)
-    return place[lo], lo, hi, h[place[lo]]
+    return place[lo], lo, np.flatnonzero(last), h[place[lo]]
 
 
 def _prepared(df: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
@@ -124,20 +140,21 @@ class Extensions:
     """Common extensions of contexts about their anchors, by prefix hashes and binary search."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, places: np.ndarray, ends: np.ndarray):
-        self.data, self.places = data, places
+        self.data, self.places, self.starts = data, places, starts
         self.left, self.right = places - starts, ends - places
-        self.prefix = K.prefix_hash(data)
+        # places count from a context's own start, so the powers needed are few
+        self.prefix = K.prefix_hash(data, np.arange(len(data)) - np.repeat(starts, ends - starts))
 
     def common(self, i: np.ndarray, j: np.ndarray, right: bool) -> np.ndarray:
         room = self.right if right else self.left
         lo, hi = np.zeros(len(i), np.int64), np.minimum(room[i], room[j])
-        a, b, h = self.places[i], self.places[j], self.prefix
+        a, b, h, x, y = self.places[i], self.places[j], self.prefix, self.left[i], self.left[j]
         for _ in range(int(hi.max(initial=0)).bit_length()):
             mid = (lo + hi + 1) >> 1
             if right:
-                same = K.between(h, a, a + mid) == K.between(h, b, b + mid)
+                same = K.between(h, a, a + mid, x) == K.between(h, b, b + mid, y)
             else:
-                same = K.between(h, a - mid, a) == K.between(h, b - mid, b)
+                same = K.between(h, a - mid, a, x - mid) == K.between(h, b - mid, b, y - mid)
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         return lo
 
@@ -258,12 +275,15 @@ def _compared(rows: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         held: list[tuple] = []
+        size = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if len(held) >= 4000 and row[0] != held[-1][0]:
-                    yield flush(held)
-                    held = []
-                held.append(row)
+            for a in range(0, batch.num_rows, 2000):
+                for row in zip(*(c.to_pylist() for c in batch.slice(a, 2000).columns)):
+                    if size >= HELD and row[0] != held[-1][0]:
+                        yield flush(held)
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row[3])
         if held:
             yield flush(held)
 
@@ -280,7 +300,7 @@ def _split(rows: DataFrame, window: int, gram: int, step: int) -> DataFrame:
     around = window - gram
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
             out: list[list] = [[], [], [], []]
             for g, ch, lead, c in zip(*(x.to_pylist() for x in batch.columns)):
                 for k in range(around // step + 1):
@@ -298,7 +318,7 @@ def _counted(rows: DataFrame, window: int) -> DataFrame:
     """The same for parts split by single bytes: each stretch is a part of its own, named by its digest and place."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, 200) for b in batches for a in range(0, b.num_rows, 200)):
             out: list[list] = [[], [], []]
             for ch, lead, c in zip(*(x.to_pylist() for x in batch.columns)):
                 for s in range(len(c) - window + 1):
