@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "_urbanloom_shipped"
 #: Bytes of an Arrow batch that goes to a Python worker, however long its rows are.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
