@@ -1,14 +1,18 @@
-"""Connected components over a table of links, by alternating large-star and small-star rounds.
+"""Connected components and least costs over tables of links.
 
-Each round is two joins and two aggregates over the links; nothing is gathered on the driver but one checksum. Rounds
-are written to scratch tables, so their lineage is short and a lost executor repeats one round at most.
+Components go by alternating large-star and small-star rounds. Each round is two joins and two aggregates over the
+links; nothing is gathered on the driver but one checksum. Rounds are written to scratch tables, so their lineage is
+short and a lost executor repeats one round at most.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.core.paths import dijkstra, each, network
 from urbanloom.core.tables import drop, stored
 
 
@@ -29,11 +33,12 @@ def components(links: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         joined = down.join(least, "a")
         pairs = stored(joined.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct(), "links")
-        sums = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.count_distinct("a").alias("k")).first()
+        sums = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         drop(before)
         before = pairs
         state = (sums["n"], sums["h"])
-        if sums["n"] == sums["k"] and state == last or not sums["n"]:
+        # a round that changes nothing leaves stars: every node is linked with its component's least alone
+        if state == last or not sums["n"]:
             break
         last = state
     else:
@@ -46,16 +51,53 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "cost").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
 
 
-def shortest(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, directed: bool = False, apart: bool = True, rounds: int = 500) -> DataFrame:
+def shortest(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, directed: bool = False, apart: bool = True) -> DataFrame:
     """Least costs from ``sources`` (node[, offset]) over edges (src, dst, cost): (source, node, dist) for each source,
     or with ``apart=False`` the nearest source of each node, ties by source.
 
-    Only nodes whose cost fell in a round are expanded in the next; costs beyond the cutoff are dropped on the way.
-    Rounds are written, so a lost executor repeats one of them.
+    Networks of up to ``paths.ARCS`` arcs are sent to the tasks, each of which takes some sources; larger ones go by
+    rounds of joins, which are written, so a lost executor repeats one of them.
+    """
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    ids = {edges.schema[c].dataType.simpleString() for c in ("src", "dst")} | {sources.schema["node"].dataType.simpleString()}
+    net = network(edges, directed=directed, nodes=sources.select("node")) if ids <= whole else None
+    if net is None:
+        return by_rounds(edges, sources, cutoff, directed, apart)
+    kind = sources.schema["node"].dataType.simpleString()
+    starts = sources.select(F.col("node").cast("long").alias("node"), (F.col("offset") if "offset" in sources.columns else F.lit(0.0)).cast("double").alias("offset"))
+    starts = starts.where("node is not null and offset is not null").groupBy("node").agg(F.min("offset").alias("offset"))
+    if cutoff is not None and apart:
+        starts = starts.where(F.col("offset") <= cutoff)
+
+    def found(net, starts):
+        dist, label, _, _ = dijkstra(net.arcs("cost"), starts, cutoff)
+        return [(int(net.nodes[label[v]]), int(net.nodes[v]), d) for v, d in dist.items()]
+
+    def begin(net, nodes, offsets):
+        return [(o, i, i) for o, i in zip(offsets, net.index(nodes).tolist())]
+
+    if apart:
+        out = each(starts, net, lambda net, pdf: [r for x in begin(net, pdf["node"], pdf["offset"]) for r in found(net, [x])], "source long, node long, dist double")
+    else:
+        # one search over a network of bounded size from all sources, which are nodes of it
+        together = starts.groupBy(F.lit(1).alias("g")).agg(F.collect_list(F.struct("node", "offset")).alias("s")).select("s.node", "s.offset")
+        out = each(together, net, lambda net, pdf: [r for n, o in zip(pdf["node"], pdf["offset"]) for r in found(net, begin(net, n, o))], "source long, node long, dist double")
+    return out.select(F.col("source").cast(kind).alias("source"), F.col("node").cast(kind).alias("node"), "dist")
+
+
+#: Rounds between two merges of what has been found into one table.
+MERGED = 8
+
+
+def by_rounds(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, directed: bool = False, apart: bool = True) -> DataFrame:
+    """The same by rounds of joins, whatever the size; only nodes whose cost fell in a round are expanded in the next.
+
+    Costs beyond the cutoff are dropped on the way. Each round writes what fell; every few rounds these tables are
+    merged into one and deleted. The rounds are as many as the most edges of a shortest path.
     """
     key = ["source", "node"] if apart else ["node"]
     arcs = edges if directed else both_ways(edges)
-    arcs = arcs.groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+    arcs = stored(arcs.groupBy("src", "dst").agg(F.min("cost").alias("cost")), "arcs")
     offset = F.col("offset") if "offset" in sources.columns else F.lit(0.0)
 
     def least(df: DataFrame) -> DataFrame:
@@ -63,20 +105,24 @@ def shortest(edges: DataFrame, sources: DataFrame, cutoff: float | None = None,
             return df.groupBy("source", "node").agg(F.min("dist").alias("dist"))
         return df.groupBy("node").agg(F.min(F.struct("dist", "source")).alias("x")).select("x.source", "node", "x.dist")
 
-    known = stored(least(sources.select(F.col("node").alias("source"), "node", offset.cast("double").alias("dist"))), "dist")
-    front = known
-    for _ in range(rounds):
+    first = least(sources.select(F.col("node").alias("source"), "node", offset.cast("double").alias("dist")))
+    base, steps = stored(first if cutoff is None or not apart else first.where(F.col("dist") <= cutoff), "dist"), []
+    front = base
+    while not front.isEmpty():
         step = front.join(arcs, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"))
         if cutoff is not None:
             step = step.where(F.col("dist") <= cutoff)
-        step = least(step)
-        old = known.select(*key, F.col("dist").alias("_d"), F.col("source").alias("_s")) if not apart else known.select(*key, F.col("dist").alias("_d"))
-        joined = step.join(old, key, "left")
+        known = least(reduce(DataFrame.unionByName, steps, base))
+        old = known.select(*key, F.col("dist").alias("_d"), *([] if apart else [F.col("source").alias("_s")]))
+        joined = least(step).join(old, key, "left")
         better = joined["_d"].isNull() | (joined["dist"] < joined["_d"])
         if not apart:
             better = better | ((joined["dist"] == joined["_d"]) & (joined["source"] < joined["_s"]))
         front = stored(joined.where(better).select("source", "node", "dist"), "front")
-        if front.isEmpty():
-            return known
-        known = stored(known.join(front.select(*key), key, "left_anti").select("source", "node", "dist").unionByName(front), "dist")
-    raise RuntimeError(f"costs did not settle within {rounds} rounds")
+        steps.append(front)
+        if len(steps) == MERGED:
+            merged = stored(least(reduce(DataFrame.unionByName, steps, base)), "dist")
+            for t in [base, *steps[:-1]]:
+                drop(t)
+            base, steps = merged, []
+    return least(reduce(DataFrame.unionByName, steps, base))

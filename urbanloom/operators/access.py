@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from urbanloom.core.ordered import running
+from urbanloom.core.tables import stored
+
 
 def decay(cost: Column, method: str, beta: float, cutoff: float | None = None) -> Column:
     """The decay of a cost; 0 beyond the cutoff."""
@@ -70,8 +73,7 @@ def three_step_2sfca(od, origins, dest, cutoff: float, method: str = "none", bet
 def spatial_equity_gini(access: DataFrame, population: DataFrame) -> DataFrame:
     """Population-weighted Gini of access, from cumulated sums instead of all pairs."""
     rows = access.join(population, "o").groupBy("access").agg(F.sum("pop").alias("p"))
-    before = Window.orderBy("access").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("pb", F.coalesce(F.sum("p").over(before), F.lit(0.0))).withColumn("sb", F.coalesce(F.sum(F.col("p") * F.col("access")).over(before), F.lit(0.0)))
+    rows = running(rows, [F.col("access")], {"pb": ("sum", F.col("p")), "sb": ("sum", F.col("p") * F.col("access"))}, inclusive=False).na.fill(0.0, ["pb", "sb"])
     out = rows.agg(F.sum(F.col("p") * (F.col("access") * F.col("pb") - F.col("sb"))).alias("a"), F.sum("p").alias("t"), F.sum(F.col("p") * F.col("access")).alias("s"))
     return out.select(F.when(F.col("s") > 0, F.col("a") / (F.col("t") * F.col("s"))).otherwise(F.lit(0.0)).alias("gini"))
 
@@ -131,15 +133,22 @@ def gravity_od(od: DataFrame, origins: DataFrame, dest: DataFrame, beta: float =
 def furness(trips: DataFrame, rows: DataFrame, cols: DataFrame, iterations: int = 30) -> DataFrame:
     """Alternating scaling of (o, d, trips) to the totals rows (o, target) and cols (d, target).
 
-    Only the factors of rows and columns change, so each round is two aggregates over the same table joined with
-    two small ones, and the lineage is cut by writing the factors every few rounds.
+    Only the factors of rows and columns change: a round is one aggregate over the same table for the rows and one for
+    the columns, and the factors are written, so the plan of a round doesn't grow with their number. Rows and columns
+    without a target drop out.
     """
-    t = trips.select("o", "d", "trips")
+    t = trips.select("o", "d", "trips").join(rows.select("o"), "o", "left_semi").join(cols.select("d"), "d", "left_semi")
+    t = stored(t, "trips")
+    a = rows.select("o", F.lit(1.0).alias("_a"))
+    b = stored(cols.select("d", F.lit(1.0).alias("_b")), "factors")
     for _ in range(iterations):
-        for key, targets in (("o", rows), ("d", cols)):
-            total = F.sum("trips").over(Window.partitionBy(key))
-            t = t.join(targets.withColumnRenamed("target", "_t"), key).withColumn("trips", F.when(total > 0, F.col("trips") * F.col("_t") / total).otherwise(F.lit(0.0))).drop("_t")
-    return t.select("o", "d", "trips")
+        sums = t.join(b, "d").groupBy("o").agg(F.sum(F.col("trips") * F.col("_b")).alias("_s"))
+        a = sums.join(rows, "o").select("o", F.when(F.col("_s") > 0, F.col("target") / F.col("_s")).otherwise(F.lit(0.0)).alias("_a"))
+        a = stored(a, "factors")
+        sums = t.join(a, "o").groupBy("d").agg(F.sum(F.col("trips") * F.col("_a")).alias("_s"))
+        new = sums.join(cols, "d").select("d", F.when(F.col("_s") > 0, F.col("target") / F.col("_s")).otherwise(F.lit(0.0)).alias("_b"))
+        b = stored(new, "factors")
+    return t.join(a, "o").join(b, "d").select("o", "d", (F.col("trips") * F.col("_a") * F.col("_b")).alias("trips"))
 
 
 def mode_split(costs: DataFrame, betas: dict[str, float], constants: dict[str, float]) -> DataFrame:

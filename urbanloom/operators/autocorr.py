@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanloom.core.exprs import two_sided_p
+from urbanloom.core.ordered import running
+from urbanloom.core.tables import stored
 
 
 def _lagged(values: DataFrame, w: DataFrame, v: str = "v") -> DataFrame:
@@ -30,7 +32,7 @@ def getis_ord(values: DataFrame, w: DataFrame, star: bool = True) -> DataFrame:
         own = values.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("w"))
         w = w.unionByName(own.join(w.where("i = j").select("i"), "i", "left_anti"))
     rows = _with_moments(values).join(_lagged(values, w).withColumnRenamed("i", "id"), "id", "left").na.fill(0.0, ["sw", "sww", "lag"])
-    spread = F.col("sd") * F.sqrt(F.greatest((F.col("n") * F.col("sww") - F.col("sw") * F.col("sw")) / (F.col("n") - 1), F.lit(0.0)))
+    spread = F.col("sd") * F.sqrt(F.greatest(F.try_divide(F.col("n") * F.col("sww") - F.col("sw") * F.col("sw"), F.col("n") - 1), F.lit(0.0)))
     rows = rows.withColumn("z", F.when(spread > 1e-12, (F.col("lag") - F.col("mean") * F.col("sw")) / spread).otherwise(F.lit(0.0)))
     rows = rows.withColumn("p", two_sided_p(F.col("z")))
     level = F.when(F.abs("z") > 2.5758293035489, 3).when(F.abs("z") > 1.9599639845401, 2).when(F.abs("z") > 1.6448536269515, 1).otherwise(0)
@@ -57,14 +59,14 @@ def _local_cross(zs: DataFrame, w: DataFrame) -> DataFrame:
 def bivariate_moran(values: DataFrame, w: DataFrame, x: str = "v", y: str = "v2") -> DataFrame:
     """One row: mean of zx times the lag of zy, expectation -1/(n-1), variance 1/n - E^2, z, p."""
     out = _local_cross(_standard(values, x, y), w).agg(F.avg(F.col("zx") * F.col("lag")).alias("i"), F.max("n").alias("n"))
-    out = out.withColumn("expected", -1 / (F.col("n") - 1)).withColumn("variance", 1 / F.col("n") - F.col("expected") * F.col("expected"))
+    out = out.withColumn("expected", F.try_divide(F.lit(-1.0), F.col("n") - 1)).withColumn("variance", F.try_divide(F.lit(1.0), F.col("n")) - F.col("expected") * F.col("expected"))
     out = out.withColumn("z", F.when(F.col("variance") > 0, (F.col("i") - F.col("expected")) / F.sqrt("variance")).otherwise(F.lit(0.0)))
     return out.select("i", "expected", "variance", "z", two_sided_p(F.col("z")).alias("p"))
 
 
 def local_bivariate_moran(values: DataFrame, w: DataFrame, x: str = "v", y: str = "v2", alpha: float = 0.05) -> DataFrame:
     rows = _local_cross(_standard(values, x, y), w).withColumn("i", F.col("zx") * F.col("lag"))
-    rows = rows.withColumn("z", F.col("i") / F.sqrt(1 / (F.col("n") - 1))).withColumn("p", two_sided_p(F.col("z")))
+    rows = rows.withColumn("z", F.coalesce(F.col("i") * F.sqrt(F.col("n") - 1), F.lit(0.0))).withColumn("p", two_sided_p(F.col("z")))
     return rows.select("id", "i", "z", "p", F.when(F.col("p") <= alpha, _quadrant(F.col("zx"), F.col("lag"))).otherwise("NS").alias("quadrant"))
 
 
@@ -84,25 +86,26 @@ def weight_sums(values: DataFrame, w: DataFrame) -> DataFrame:
 
 
 def _global_parts(values: DataFrame, w: DataFrame) -> DataFrame:
+    w = stored(w.select("i", "j", "w"), "weights")
     z = _with_moments(values).withColumn("z", F.col("y") - F.col("mean"))
     sums = z.agg(F.sum(F.col("z") * F.col("z")).alias("m2"), F.sum(F.pow("z", F.lit(4.0))).alias("m4"), F.max("n").alias("n"))
     a, b = z.select(F.col("id").alias("i"), F.col("z").alias("zi")), z.select(F.col("id").alias("j"), F.col("z").alias("zj"))
     pairs = w.join(a, "i").join(b, "j").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("cross"), F.sum(F.col("w") * (F.col("zi") - F.col("zj")) * (F.col("zi") - F.col("zj"))).alias("diff"))
-    return sums.crossJoin(pairs).crossJoin(weight_sums(values, w)).withColumn("k", F.col("n") * F.col("m4") / (F.col("m2") * F.col("m2")))
+    return sums.crossJoin(pairs).crossJoin(weight_sums(values, w)).withColumn("k", F.try_divide(F.col("n") * F.col("m4"), F.col("m2") * F.col("m2")))
 
 
 def global_moran(values: DataFrame, w: DataFrame) -> DataFrame:
     """One row: I, its expectation and variance under randomisation, z and p."""
-    rows = _global_parts(values, w).withColumn("i", F.expr("n / s0 * cross / m2")).withColumn("expected", F.expr("-1 / (n - 1)"))
-    rows = rows.withColumn("variance", F.expr("(n * ((n*n - 3*n + 3) * s1 - n * s2 + 3 * s0*s0) - k * ((n*n - n) * s1 - 2 * n * s2 + 6 * s0*s0)) / ((n-1) * (n-2) * (n-3) * s0*s0) - expected * expected"))
+    rows = _global_parts(values, w).withColumn("i", F.expr("coalesce(try_divide(n * cross, s0 * m2), 0D)")).withColumn("expected", F.expr("try_divide(-1D, n - 1)"))
+    rows = rows.withColumn("variance", F.expr("try_divide(n * ((n*n - 3*n + 3) * s1 - n * s2 + 3 * s0*s0) - k * ((n*n - n) * s1 - 2 * n * s2 + 6 * s0*s0), (n-1) * (n-2) * (n-3) * s0*s0) - expected * expected"))
     rows = rows.withColumn("z", F.expr("case when variance > 0 then (i - expected) / sqrt(variance) else 0D end"))
     return rows.select("i", "expected", "variance", "z", two_sided_p(F.col("z")).alias("p"))
 
 
 def global_geary(values: DataFrame, w: DataFrame) -> DataFrame:
     """One row: C, its expectation 1 and variance under normality, z and p."""
-    rows = _global_parts(values, w).withColumn("c", F.expr("(n - 1) * diff / (2 * s0 * m2)"))
-    rows = rows.withColumn("variance", F.expr("((2 * s1 + s2) * (n - 1) - 4 * s0*s0) / (2 * (n + 1) * s0*s0)"))
+    rows = _global_parts(values, w).withColumn("c", F.expr("try_divide((n - 1) * diff, 2 * s0 * m2)"))
+    rows = rows.withColumn("variance", F.expr("try_divide((2 * s1 + s2) * (n - 1) - 4 * s0*s0, 2 * (n + 1) * s0*s0)"))
     rows = rows.withColumn("z", F.expr("case when variance > 0 then (c - 1) / sqrt(variance) else 0D end"))
     return rows.select("c", F.lit(1.0).alias("expected"), "variance", "z", two_sided_p(F.col("z")).alias("p"))
 
@@ -113,7 +116,7 @@ def general_g(values: DataFrame, w: DataFrame) -> DataFrame:
     near = w.join(y.select(F.col("id").alias("i"), F.col("y").alias("yi")), "i").join(y.select(F.col("id").alias("j"), F.col("y").alias("yj")), "j").where("i <> j")
     top = near.agg(F.sum(F.col("w") * F.col("yi") * F.col("yj")).alias("top"), F.sum("w").alias("s0"))
     tot = y.agg(F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"), F.count("*").cast("double").alias("n"))
-    return top.crossJoin(tot).select(F.expr("top / (s * s - ss)").alias("g"), F.expr("s0 / (n * (n - 1))").alias("expected"))
+    return top.crossJoin(tot).select(F.expr("coalesce(try_divide(top, s * s - ss), 0D)").alias("g"), F.expr("try_divide(s0, n * (n - 1))").alias("expected"))
 
 
 def local_moran(values: DataFrame, w: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -122,8 +125,8 @@ def local_moran(values: DataFrame, w: DataFrame, alpha: float = 0.05) -> DataFra
     m = z.agg((F.sum(F.col("z") * F.col("z")) / F.count("*")).alias("m2"), (F.sum(F.pow("z", F.lit(4.0))) / F.count("*")).alias("m4"))
     lag = _lagged(z.select("id", "z"), w, "z").withColumnRenamed("i", "id")
     rows = z.select("id", "z", "n").join(lag, "id", "left").na.fill(0.0, ["sw", "sww", "lag"]).crossJoin(F.broadcast(m))
-    rows = rows.withColumn("i", F.expr("z / m2 * lag")).withColumn("expected", F.expr("-sw / (n - 1)")).withColumn("b2", F.expr("m4 / (m2 * m2)"))
-    rows = rows.withColumn("variance", F.expr("sww * (n - b2) / (n - 1) + (sw * sw - sww) * (2 * b2 - n) / ((n - 1) * (n - 2)) - expected * expected"))
+    rows = rows.withColumn("i", F.expr("coalesce(try_divide(z * lag, m2), 0D)")).withColumn("expected", F.expr("try_divide(-sw, n - 1)")).withColumn("b2", F.expr("try_divide(m4, m2 * m2)"))
+    rows = rows.withColumn("variance", F.expr("try_divide(sww * (n - b2), n - 1) + coalesce(try_divide((sw * sw - sww) * (2 * b2 - n), (n - 1) * (n - 2)), 0D) - expected * expected"))
     rows = rows.withColumn("zi", F.expr("case when variance > 0 then (i - expected) / sqrt(variance) else 0D end")).withColumn("p", two_sided_p(F.col("zi")))
     return rows.select("id", "i", "expected", "variance", F.col("zi").alias("z"), "p", F.when(F.col("p") < alpha, _quadrant(F.col("z"), F.col("lag"))).otherwise("NS").alias("quadrant"))
 
@@ -131,7 +134,8 @@ def local_moran(values: DataFrame, w: DataFrame, alpha: float = 0.05) -> DataFra
 def fdr_adjust(df: DataFrame, p: str = "p", id_col: str = "id") -> DataFrame:
     """Adds ``p_adj``: Benjamini-Hochberg, from the largest p down. Equal p values share one rank (their last)."""
     counts = df.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
-    up = Window.orderBy("_p")
-    raw = counts.select("_p", (F.col("_p") * F.sum("_n").over(Window.partitionBy()) / F.sum("_n").over(up)).alias("_q"))
-    adj = raw.select("_p", F.least(F.min("_q").over(Window.orderBy(F.col("_p").desc())), F.lit(1.0)).alias("p_adj"))
+    counts = counts.where("_p is not null")
+    up = running(counts, [F.col("_p")], {"_to": ("sum", F.col("_n"))}).crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all"))))
+    raw = up.select("_p", (F.col("_p") * F.col("_all") / F.col("_to")).alias("_q"))
+    adj = running(raw, [F.col("_p").desc()], {"_least": ("min", F.col("_q"))}).select("_p", F.least("_least", F.lit(1.0)).alias("p_adj"))
     return df.join(adj, F.col(p) == F.col("_p"), "left").drop("_p")

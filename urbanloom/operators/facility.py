@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.core.ordered import numbered
 from urbanloom.core.spatial_join import nearest, range_join
 from urbanloom.core.tables import stored
 
@@ -69,11 +70,9 @@ def assign_to_nearest(candidates: DataFrame, demand: DataFrame) -> DataFrame:
 
 def rank_sites(cells: DataFrame, labels: DataFrame, cell_area: float, least_ha: float = 0.0) -> DataFrame:
     """(component, cells, area_ha, mean, max, rank) of labelled cells (r, c, component), best mean first, then area."""
-    from pyspark.sql import Window
-
     s = labels.join(cells, ["r", "c"]).groupBy("component").agg(F.count("*").alias("cells"), F.avg("z").alias("mean"), F.max("z").alias("max"))
     s = s.withColumn("area_ha", F.col("cells") * cell_area / 10000).where(F.col("area_ha") >= least_ha)
-    return s.select("component", "cells", "area_ha", "mean", "max", F.row_number().over(Window.orderBy(F.col("mean").desc(), F.col("area_ha").desc(), "component")).alias("rank"))
+    return numbered(s.select("component", "cells", "area_ha", "mean", "max"), [F.col("mean").desc(), F.col("area_ha").desc(), F.col("component").asc()])
 
 
 def label_components(cells: DataFrame, mask: str, connectivity: int = 8) -> DataFrame:

@@ -5,10 +5,13 @@ Rows with a missing value or a weight that isn't positive are left out. Cumulate
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanloom.core.exprs import finite
+from urbanloom.core.ordered import running
 
 
 def cleaned(df: DataFrame, x: str, w: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -42,17 +45,26 @@ def weighted_quantile(df: DataFrame, x: str, qs: list[float], w: str | None = No
     Rows of one value keep their own positions, so ties are interpolated over; rows are ordered within a group.
     """
     by = by or []
-    rows = cleaned(df, x, w, tuple(by))
-    part = Window.partitionBy(*by)
-    order = part.orderBy("_x", "_w").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("s", (F.sum("_w").over(order) - F.col("_w") / 2) / F.sum("_w").over(part))
-    step = part.orderBy("_x", "_w", "s")
-    rows = rows.withColumn("s1", F.lead("s").over(step)).withColumn("x1", F.lead("_x").over(step)).withColumn("s0", F.lag("s").over(step))
-    rows = rows.select("*", F.explode(F.array(*map(F.lit, qs))).alias("q"))
-    first = F.col("s0").isNull() & (F.col("q") < F.col("s"))
-    inside = (F.col("q") >= F.col("s")) & (F.col("s1").isNull() | (F.col("q") < F.col("s1")))
-    value = F.when(first | F.col("s1").isNull(), F.col("_x")).otherwise(F.col("_x") + (F.col("x1") - F.col("_x")) * (F.col("q") - F.col("s")) / (F.col("s1") - F.col("s")))
-    return rows.where(first | inside).select(*by, "q", value.alias("value"))
+    # rows of one value and weight sit side by side at even steps, so each such run is one row with a count
+    rows = cleaned(df, x, w, tuple(by)).groupBy(*by, "_x", "_w").agg(F.count("*").alias("_k"))
+    own = F.col("_w") * F.col("_k")
+    order = [F.col("_x"), F.col("_w")]
+    rows = running(rows, order, {"_to": ("sum", own)}, by)
+    rows = running(rows, order, {"_last": ("max", F.struct("_x", "_w", "_to"))}, by, inclusive=False)
+    total = rows.groupBy(*(F.col(c).alias(f"_t{i}") for i, c in enumerate(by))).agg(F.sum(own).alias("_total"), F.max(F.struct("_x", "_w")).alias("_end"))
+    same = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate(by)], F.lit(True))
+    rows = rows.join(total if by else F.broadcast(total), same)
+    # positions of the run's first and last row, and of the row before the run
+    place = lambda upto, weight: (upto - weight / 2) / F.col("_total")
+    rows = rows.withColumn("s", place(F.col("_to") - own + F.col("_w"), F.col("_w"))).withColumn("e", place(F.col("_to"), F.col("_w")))
+    rows = rows.withColumn("s0", place(F.col("_last._to"), F.col("_last._w"))).withColumn("x0", F.col("_last._x"))
+    rows = rows.select("*", F.explode(F.array(*(F.lit(float(q)) for q in qs))).alias("q"))
+    lowest = F.col("s0").isNull() & (F.col("q") < F.col("s"))
+    between = F.col("s0").isNotNull() & (F.col("q") >= F.col("s0")) & (F.col("q") < F.col("s"))
+    inside = (F.col("q") >= F.col("s")) & (F.col("q") < F.col("e"))
+    highest = (F.struct("_x", "_w") == F.col("_end")) & (F.col("q") >= F.col("e"))
+    value = F.when(between, F.col("x0") + (F.col("_x") - F.col("x0")) * (F.col("q") - F.col("s0")) / (F.col("s") - F.col("s0"))).otherwise(F.col("_x"))
+    return rows.where(lowest | between | inside | highest).select(*by, "q", value.alias("value")).groupBy(*by, "q").agg(F.max("value").alias("value"))
 
 
 def percentile_ratio(df: DataFrame, x: str, w: str | None = None, hi: float = 0.9, lo: float = 0.1) -> DataFrame:
@@ -65,7 +77,8 @@ def percentile_rank(df: DataFrame, x: str, w: str | None = None, id_col: str = "
     """(id, pct): weight below plus half the weight of equal values, over the total."""
     rows = cleaned(df, x, w, (id_col,))
     values = rows.groupBy("_x").agg(F.sum("_w").alias("_e"))
-    values = values.select(F.col("_x").alias("_v"), ((F.sum("_e").over(Window.orderBy("_x")) - F.col("_e") / 2) / F.sum("_e").over(Window.partitionBy())).alias("pct"))
+    values = running(values, [F.col("_x")], {"_to": ("sum", F.col("_e"))}).crossJoin(F.broadcast(rows.agg(F.sum("_w").alias("_all"))))
+    values = values.select(F.col("_x").alias("_v"), ((F.col("_to") - F.col("_e") / 2) / F.col("_all")).alias("pct"))
     return rows.join(values, F.col("_x") == F.col("_v")).select(id_col, "pct")
 
 
@@ -73,8 +86,7 @@ def gini(df: DataFrame, x: str, w: str | None = None, by: list[str] | None = Non
     """Negative values count as 0."""
     by = by or []
     rows = _by_value(df.withColumn("_c", F.greatest(finite(x), F.lit(0.0))), "_c", w, by)
-    before = Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_wb", F.coalesce(F.sum("_w").over(before), F.lit(0.0))).withColumn("_sb", F.coalesce(F.sum(F.col("_w") * F.col("_x")).over(before), F.lit(0.0)))
+    rows = running(rows, [F.col("_x")], {"_wb": ("sum", F.col("_w")), "_sb": ("sum", F.col("_w") * F.col("_x"))}, by, inclusive=False).na.fill(0.0, ["_wb", "_sb"])
     out = rows.groupBy(*by).agg(F.sum(F.col("_w") * (F.col("_x") * F.col("_wb") - F.col("_sb"))).alias("a"), F.sum("_w").alias("t"), F.sum(F.col("_w") * F.col("_x")).alias("s"))
     return out.select(*by, F.when(F.col("s") > 0, F.col("a") / (F.col("t") * F.col("s"))).otherwise(F.lit(0.0)).alias("gini"))
 
@@ -118,16 +130,16 @@ def lorenz_points(df: DataFrame, x: str, w: str | None = None, rank: str | None
     key = rank or x
     rows = df.select(finite(key).alias("_k"), F.greatest(finite(x), F.lit(0.0)).alias("_x"), (finite(w) if w else F.lit(1.0)).alias("_w")).where("_k is not null and _x is not null and _w > 0")
     rows = rows.groupBy("_k").agg(F.sum("_w").alias("_w"), F.sum(F.col("_x") * F.col("_w")).alias("_s"))
-    run, all_of = Window.orderBy("_k"), Window.partitionBy()
-    total = F.sum("_s").over(all_of)
-    shares = rows.select((F.sum("_w").over(run) / F.sum("_w").over(all_of)).alias("pop_share"), F.when(total > 0, F.sum("_s").over(run) / total).otherwise(F.lit(0.0)).alias("value_share"))
+    rows = running(rows, [F.col("_k")], {"_wt": ("sum", F.col("_w")), "_st": ("sum", F.col("_s"))})
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.sum("_w").alias("_wa"), F.sum("_s").alias("_sa"))))
+    shares = rows.select((F.col("_wt") / F.col("_wa")).alias("pop_share"), F.when(F.col("_sa") > 0, F.col("_st") / F.col("_sa")).otherwise(F.lit(0.0)).alias("value_share"))
     return shares.unionByName(shares.sparkSession.range(1).select(F.lit(0.0).alias("pop_share"), F.lit(0.0).alias("value_share")))
 
 
 def gini_from_lorenz(points: DataFrame) -> DataFrame:
-    order = Window.orderBy("pop_share", "value_share")
-    rows = points.select("pop_share", "value_share", F.lag("pop_share").over(order).alias("p0"), F.lag("value_share").over(order).alias("v0"))
-    return rows.agg((1 - F.sum((F.col("pop_share") - F.col("p0")) * (F.col("value_share") + F.col("v0")))).alias("gini"))
+    order = [F.col("pop_share"), F.col("value_share")]
+    rows = running(points.select("pop_share", "value_share"), order, {"_b": ("max", F.struct("pop_share", "value_share"))}, inclusive=False)
+    return rows.agg((1 - F.sum((F.col("pop_share") - F.col("_b.pop_share")) * (F.col("value_share") + F.col("_b.value_share")))).alias("gini"))
 
 
 def concentration_index(df: DataFrame, x: str, rank: str, w: str | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from urbanloom.core.ordered import numbered
+
 TINY = 1e-9
 
 
@@ -32,7 +34,7 @@ def _shares(weights: list[float]) -> list[float]:
 def ranked(df: DataFrame, score: Column, descending: bool = True, id_col: str = "id") -> DataFrame:
     out = df.select(id_col, score.alias("score"))
     order = F.col("score").desc() if descending else F.col("score").asc()
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(order, id_col)))
+    return numbered(out, [order, F.col(id_col).asc()])
 
 
 def _ideal(c: str, good: bool, best: bool, pre: str = "") -> Column:
@@ -76,7 +78,7 @@ def promethee_ii(df: DataFrame, cols: list[str], weights: list[float], benefit:
     for c, g, w in zip(cols, benefit, _shares(weights)):
         span = F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")).otherwise(F.lit(1.0))
         flows.append((1 if g else -1) * w * (F.col("_n") * F.col(c) - F.col(f"sum_{c}")) / span)
-    return ranked(s, _total(flows) / (F.col("_n") - 1))
+    return ranked(s, F.coalesce(F.try_divide(_total(flows), F.col("_n") - 1), F.lit(0.0)))
 
 
 def marcos(df: DataFrame, cols: list[str], weights: list[float], benefit: list[bool]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanloom.core.graph import both_ways, components, shortest
+from urbanloom.core.ordered import numbered
 from urbanloom.core.tables import stored
 
 
@@ -145,7 +146,5 @@ def bottlenecks(usage: DataFrame, k: int = 10) -> DataFrame:
 
 def debris_priority(blocked: DataFrame, cost_factor: float = 1.0) -> DataFrame:
     """(edge, priority, rank) from (edge, volume, criticality)."""
-    from pyspark.sql import Window
-
     p = F.col("criticality") / (F.pow("volume", F.lit(cost_factor)) + 1e-6)
-    return blocked.select("edge", p.alias("priority")).withColumn("rank", F.row_number().over(Window.orderBy(F.col("priority").desc(), "edge")))
+    return numbered(blocked.select("edge", p.alias("priority")), [F.col("priority").desc(), F.col("edge").asc()])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.core.ordered import quantiles
 from urbanloom.core.spatial_join import nearest, range_join
+from urbanloom.core.tables import stored
 
 
 def mean_center(points: DataFrame, w: str | None = None) -> DataFrame:
@@ -31,8 +33,11 @@ def standard_deviational_ellipse(points: DataFrame) -> DataFrame:
 
 def median_center(points: DataFrame, iterations: int = 30) -> DataFrame:
     """Weiszfeld's iteration: each round one aggregate of one row."""
+    points = points.where("x is not null and y is not null")
     c = mean_center(points)
     at = c.first()
+    if at["x"] is None:
+        return c.where("x is not null")
     x, y = at["x"], at["y"]
     for _ in range(iterations):
         d = F.greatest(F.sqrt((F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)), F.lit(1e-12))
@@ -49,14 +54,15 @@ def average_nearest_neighbor(points: DataFrame, area: float | None = None) -> Da
     near = nearest(points, points, 1, exclude_self=True).agg(F.avg("d").alias("observed"), F.count("*").cast("double").alias("n"))
     box = points.agg(F.expr("(max(x) - min(x)) * (max(y) - min(y))").alias("a"))
     a = F.lit(float(area)) if area else F.col("a")
-    out = near.crossJoin(box).withColumn("expected", 0.5 / F.sqrt(F.col("n") / a)).withColumn("se", 0.26136 / F.sqrt(F.col("n") * F.col("n") / a))
-    return out.select("observed", "expected", (F.col("observed") / F.col("expected")).alias("ratio"), ((F.col("observed") - F.col("expected")) / F.col("se")).alias("z"))
+    out = near.crossJoin(box).withColumn("expected", F.when(F.col("n") > 0, 0.5 * F.sqrt(a / F.col("n")))).withColumn("se", F.when(F.col("n") > 0, 0.26136 * F.sqrt(a) / F.col("n")))
+    return out.select("observed", "expected", F.try_divide("observed", "expected").alias("ratio"), F.try_divide(F.col("observed") - F.col("expected"), F.col("se")).alias("z"))
 
 
 def distance_band_stats(points: DataFrame, k: int = 1) -> DataFrame:
     d = nearest(points, points, k, exclude_self=True).where(F.col("rank") == k)
-    q = F.percentile("d", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return d.agg(F.min("d").alias("min"), F.max("d").alias("max"), F.avg("d").alias("mean"), q[1].alias("median"), q[0].alias("p25"), q[2].alias("p75"))
+    d = stored(d.select("d"), "near")
+    q = quantiles(d, F.col("d"), [0.25, 0.5, 0.75]).agg(*(F.max(F.when(F.col("q") == p, F.col("value"))).alias(n) for p, n in ((0.5, "median"), (0.25, "p25"), (0.75, "p75"))))
+    return d.agg(F.min("d").alias("min"), F.max("d").alias("max"), F.avg("d").alias("mean")).crossJoin(F.broadcast(q))
 
 
 def ripleys_k(points: DataFrame, radii: list[float], area: float | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from urbanloom.core.ordered import numbered
 from urbanloom.core.spatial_join import range_join
 
 
@@ -14,8 +15,7 @@ def largest_remainder(df: DataFrame, total: int, weight: str = "w", id_col: str
     """(id, n): whole shares of ``total`` by weight; what is left goes to the largest fractions, ties by id."""
     s = df.crossJoin(F.broadcast(df.agg(F.sum(weight).alias("_t")))).withColumn("_q", F.lit(float(total)) * F.col(weight) / F.col("_t")).withColumn("_f", F.floor("_q"))
     left = s.agg((F.lit(total) - F.sum("_f")).alias("_left"))
-    order = Window.orderBy((F.col("_q") - F.col("_f")).desc(), id_col)
-    out = s.crossJoin(F.broadcast(left)).withColumn("_r", F.row_number().over(order))
+    out = numbered(s, [(F.col("_q") - F.col("_f")).desc(), F.col(id_col).asc()], "_r").crossJoin(F.broadcast(left))
     return out.select(id_col, (F.col("_f") + (F.col("_r") <= F.col("_left")).cast("long")).alias("n"))
 
 

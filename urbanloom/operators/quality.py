@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanloom.core.exprs import finite
+from urbanloom.core.ordered import quantiles, running
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -15,39 +18,45 @@ QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 def array_summary(df: DataFrame, x: str, w: str | None = None) -> DataFrame:
     """One row: counts, extremes, mean, interpolated quantiles, sum and, with ``w``, the weighted mean."""
     v = finite(x)
-    q = F.percentile(v, F.array(*map(F.lit, QUANTILES)))
     cols = [F.count("*").alias("n"), F.count(v).alias("n_valid"), (F.count("*") - F.count(v)).alias("n_missing"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.sum(v).alias("sum")]
-    cols += [q[i].alias(n) for i, n in enumerate(("p05", "p25", "median", "p75", "p95"))]
+    q = quantiles(df, v, list(QUANTILES)).agg(*(F.max(F.when(F.col("q") == p, F.col("value"))).alias(n) for p, n in zip(QUANTILES, ("p05", "p25", "median", "p75", "p95"))))
     if w:
         ok = F.when(v.isNotNull(), finite(w))
-        cols.append((F.sum(v * ok) / F.sum(ok)).alias("weighted_mean"))
-    return df.agg(*cols)
+        cols.append(F.try_divide(F.sum(v * ok), F.sum(ok)).alias("weighted_mean"))
+    out = df.agg(*cols).crossJoin(F.broadcast(q))
+    return out.select("n", "n_valid", "n_missing", "min", "max", "mean", "sum", "p05", "p25", "median", "p75", "p95", *(["weighted_mean"] if w else []))
 
 
 def _cumulative(df: DataFrame, x: str, w: str, by: list[str]) -> DataFrame:
+    """(x, w, cum, share, total): weights and weighted values cumulated over the distinct values."""
     rows = df.select(*by, finite(x).alias("x"), finite(w).alias("w")).where("x is not null and w > 0")
-    rows = rows.groupBy(*by, "x").agg(F.sum("w").alias("w"))
-    total = Window.partitionBy(*by)
-    return rows.withColumn("cum", F.sum("w").over(total.orderBy("x"))).withColumn("total", F.sum("w").over(total))
+    rows = running(rows.groupBy(*by, "x").agg(F.sum("w").alias("w")), [F.col("x")], {"cum": ("sum", F.col("w")), "share": ("sum", F.col("x") * F.col("w")), "x_to": ("max", F.col("x"))}, by)
+    total = rows.groupBy(*(F.col(c).alias(f"_t{i}") for i, c in enumerate(by))).agg(F.sum("w").alias("total"))
+    if not by:
+        return rows.crossJoin(F.broadcast(total))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate(by)])
+    return rows.join(total, same).drop(*(f"_t{i}" for i in range(len(by))))
 
 
 def weighted_quantile(df: DataFrame, x: str, w: str, quantiles: list[float], by: list[str] | None = None) -> DataFrame:
     """(q, value): interpolated at the shares that cumulated weights reach, clamped at the left end."""
     by = by or []
     rows = _cumulative(df, x, w, by).withColumn("s", F.col("cum") / F.col("total"))
-    order = Window.partitionBy(*by).orderBy("x")
-    rows = rows.withColumn("s0", F.lag("s").over(order)).withColumn("x0", F.lag("x").over(order))
+    # the share and the value before: what the row itself adds taken off, and the largest value so far
+    rows = running(rows.select(*by, "x", "w", "s", "total"), [F.col("x")], {"x0": ("max", F.col("x"))}, by, inclusive=False)
+    rows = rows.withColumn("s0", F.when(F.col("x0").isNotNull(), F.col("s") - F.col("w") / F.col("total")))
     q = F.explode(F.array(*map(F.lit, quantiles)))
     rows = rows.select(*by, "x", "s", "s0", "x0", q.alias("q"))
     hit = rows.where(((F.col("s0").isNull()) & (F.col("q") <= F.col("s"))) | ((F.col("q") > F.col("s0")) & (F.col("q") <= F.col("s"))))
     value = F.when(F.col("s0").isNull(), F.col("x")).otherwise(F.col("x0") + (F.col("x") - F.col("x0")) * (F.col("q") - F.col("s0")) / (F.col("s") - F.col("s0")))
-    return hit.select(*by, "q", value.alias("value"))
+    # rounding may let a share fall on both sides of a step, which are the same value
+    return hit.select(*by, "q", value.alias("value")).groupBy(*by, "q").agg(F.min("value").alias("value"))
 
 
 def gini_coefficient(df: DataFrame, x: str, w: str, by: list[str] | None = None) -> DataFrame:
     """Weighted Gini from the Lorenz curve's area; 0 where the total is 0. Values are taken as not negative."""
     by = by or []
-    rows = _cumulative(df, x, w, by).withColumn("share", F.sum(F.col("x") * F.col("w")).over(Window.partitionBy(*by).orderBy("x")))
+    rows = _cumulative(df, x, w, by)
     area = F.sum(F.col("w") * (2 * F.col("share") - F.col("x") * F.col("w")))
     out = rows.groupBy(*by).agg(area.alias("a"), F.max("total").alias("t"), F.sum(F.col("x") * F.col("w")).alias("sx"))
     return out.select(*by, F.when(F.col("sx") > 0, 1 - F.col("a") / (F.col("t") * F.col("sx"))).otherwise(F.lit(0.0)).alias("gini"))
@@ -60,8 +69,7 @@ def normalize_weights(df: DataFrame, w: str) -> DataFrame:
 
 def quantile_breaks(df: DataFrame, x: str, n_classes: int = 5) -> DataFrame:
     """One row with the distinct inner quantiles as an array."""
-    q = F.percentile(finite(x), F.array(*(F.lit(k / n_classes) for k in range(1, n_classes))))
-    return df.agg(F.array_sort(F.array_distinct(q)).alias("breaks"))
+    return quantiles(df, finite(x), [k / n_classes for k in range(1, n_classes)]).agg(F.array_sort(F.collect_set("value")).alias("breaks"))
 
 
 def classify_values(df: DataFrame, x: str, breaks: list[float] | Column, nodata: int = -1) -> DataFrame:
@@ -77,33 +85,31 @@ def rank_values(df: DataFrame, x: str, descending: bool = True) -> DataFrame:
     Distinct values are counted first, so the running sum orders distinct values, not rows.
     """
     counts = df.select(finite(x).alias("_v")).where("_v is not null").groupBy("_v").agg(F.count("*").alias("_n"))
-    order = Window.orderBy(F.col("_v").desc() if descending else F.col("_v"))
-    ranks = counts.select("_v", (F.sum("_n").over(order) - (F.col("_n") - 1) / 2).alias("_r"))
+    order = F.col("_v").desc() if descending else F.col("_v").asc()
+    ranks = running(counts, [order], {"_to": ("sum", F.col("_n"))}).select("_v", (F.col("_to") - (F.col("_n") - 1) / 2).alias("_r"))
     return df.withColumn("_x", finite(x)).join(ranks, F.col("_x") == F.col("_v"), "left").withColumn("rank", F.coalesce(F.col("_r"), F.lit(0.0))).drop("_x", "_v", "_r")
 
 
 def bootstrap_mean_ci(df: DataFrame, x: str, confidence: float = 0.95, n_boot: int = 2000, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean by the Poisson bootstrap: each partition draws its rows' weights for all
-    replicates at once and sends two sums for each, so no resample is ever gathered."""
+    """Percentile interval of the mean by the Poisson bootstrap: a row's weights for all replicates are drawn from a
+    generator seeded by its value and its place among equal values, so that they don't depend on how rows are dealt;
+    each batch sends two sums a replicate and no resample is ever gathered."""
     n = n_boot
 
     def run(batches):
-        sums, counts, first = np.zeros(n), np.zeros(n), True
-        rng = None
+        sums, counts = np.zeros(n), np.zeros(n)
         for pdf in batches:
-            v = pdf["v"].to_numpy(float)
-            v = v[np.isfinite(v)]
-            if first and len(v):
-                rng = np.random.Generator(np.random.PCG64([seed, int(abs(hash(v[0].tobytes()))) % (1 << 31)]))
-                first = False
-            for i in range(0, len(v), 256):
-                k = rng.poisson(1.0, (n, len(v[i : i + 256])))
-                sums += k @ v[i : i + 256]
-                counts += k.sum(axis=1)
+            for v, c in zip(pdf["v"].to_numpy(float), pdf["c"].to_numpy()):
+                # of c equal values a replicate draws a Poisson number with mean c
+                k = np.random.Generator(np.random.PCG64([seed, int(np.float64(v).view(np.uint64))])).poisson(float(c), n)
+                sums += k * v
+                counts += k
         yield pd.DataFrame({"b": np.arange(n), "s": sums, "c": counts})
 
-    reps = df.select(finite(x).alias("v")).mapInPandas(run, "b int, s double, c double").groupBy("b").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("m"))
+    values = df.select(finite(x).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+    reps = values.mapInPandas(run, "b int, s double, c double").groupBy("b").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("m"))
     lo, hi = (1 - confidence) / 2, (1 + confidence) / 2
+    # as many replicates as asked for, whatever the rows
     ends = reps.agg(F.percentile("m", F.lit(lo)).alias("ci_low"), F.percentile("m", F.lit(hi)).alias("ci_high"))
     return df.agg(F.avg(finite(x)).alias("mean")).crossJoin(ends)
 
@@ -131,7 +137,6 @@ def pareto_front(df: DataFrame, a: str, b: str, maximize_a: bool = True, maximiz
     y = finite(b) if maximize_b else -finite(b)
     rows = df.withColumn("_x", x).withColumn("_y", y)
     best = rows.where("_x is not null and _y is not null").groupBy("_x").agg(F.max("_y").alias("_top"))
-    before = Window.orderBy(F.col("_x").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    best = best.withColumn("_above", F.max("_top").over(before)).withColumnRenamed("_x", "_bx")
+    best = running(best, [F.col("_x").desc()], {"_above": ("max", F.col("_top"))}, inclusive=False).withColumnRenamed("_x", "_bx")
     on = (F.col("_y") == F.col("_top")) & (F.col("_above").isNull() | (F.col("_y") > F.col("_above")))
     return rows.join(best, F.col("_x") == F.col("_bx"), "left").withColumn("on_front", F.coalesce(on, F.lit(False))).drop("_x", "_y", "_bx", "_top", "_above")

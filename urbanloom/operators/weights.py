@@ -13,9 +13,9 @@ def row_standardize(w: DataFrame) -> DataFrame:
 
 
 def knn_weights(points: DataFrame, k: int = 4, row_standardized: bool = True) -> DataFrame:
-    """The k nearest others of each point, ties by id."""
-    pairs = nearest(points, points, k, exclude_self=True)
-    return pairs.select("i", "j", F.lit(1.0 / k if row_standardized else 1.0).alias("w"))
+    """The k nearest others of each point, ties by id; all others where there are fewer than k."""
+    pairs = nearest(points, points, k, exclude_self=True).select("i", "j", F.lit(1.0).alias("w"))
+    return row_standardize(pairs) if row_standardized else pairs
 
 
 def _band(points: DataFrame, threshold: float) -> DataFrame:
@@ -36,13 +36,16 @@ def auto_distance_band(points: DataFrame) -> DataFrame:
 
 
 def build_weights(points: DataFrame, mode: str = "knn", k: int = 8, distance: float = 0.0, include_self: bool = False, row_standardize_: bool = False, inverse_power: float = 1.0) -> DataFrame:
-    """knn, inverse or band weights. Rows are standardised before the self weights of 1 are added."""
+    """knn, distance_band, band (the same) or inverse weights; at distance 0 or less the largest distance to a nearest
+    neighbour is the band. Rows are standardised before the self weights of 1 are added."""
     if mode == "knn":
         out = knn_weights(points, k, False)
-    elif mode == "inverse":
-        out = _band(points, distance).select("i", "j", F.when(F.col("d") > 0, F.pow("d", F.lit(-inverse_power))).otherwise(F.lit(0.0)).alias("w"))
-    elif mode == "band":
-        out = _band(points, distance).select("i", "j", F.lit(1.0).alias("w"))
+    elif mode in ("inverse", "band", "distance_band"):
+        if distance <= 0:
+            distance = auto_distance_band(points).first()["band"] or 1.0
+        near = _band(points, distance)
+        w = F.when(F.col("d") > 0, F.pow("d", F.lit(-inverse_power))).otherwise(F.lit(0.0)) if mode == "inverse" else F.lit(1.0)
+        out = near.select("i", "j", w.alias("w"))
     else:
         raise ValueError(f"no weights mode {mode!r}")
     if row_standardize_:
