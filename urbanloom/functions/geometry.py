@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 EPS = 1e-9
 
@@ -105,18 +106,6 @@ def point_at(c: Column, t: Column) -> Column:
     return F.when(F.element_at(cum, -1) <= EPS, F.struct(c[0]["x"].alias("x"), c[0]["y"].alias("y"))).otherwise(at)
 
 
-def cut_polyline(c: Column, t0: Column, t1: Column) -> Column:
-    """The part of a line between two shares of its length; null if nothing is left."""
-    a, b = F.greatest(t0, F.lit(0.0)), F.least(t1, F.lit(1.0))
-    cum = cumulated(c)
-    total = F.element_at(cum, -1)
-    inside = F.transform(F.filter(F.arrays_zip(c.alias("p"), cum.alias("s")), lambda z: (z["s"] > a * total + EPS) & (z["s"] < b * total - EPS)), lambda z: F.struct(z["p"]["x"].alias("x"), z["p"]["y"].alias("y")))
-    whole = F.concat(F.array(point_at(c, a)), inside, F.array(point_at(c, b)))
-    far = lambda p, q: F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])) > EPS
-    kept = F.aggregate(F.slice(whole, 2, F.size(whole)), F.slice(whole, 1, 1), lambda acc, p: F.when(far(p, F.element_at(acc, -1)), F.concat(acc, F.array(p))).otherwise(acc))
-    return F.when((total > EPS) & (b - a > EPS) & (F.size(kept) >= 2), kept)
-
-
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull counter-clockwise from the leftmost point, without points on its sides."""
     pts = np.unique(points, axis=0)
@@ -156,12 +145,37 @@ def _xy(points) -> np.ndarray:
     return np.array([(p["x"], p["y"]) if isinstance(p, dict) else (p[0], p[1]) for p in points], float).reshape(-1, 2)
 
 
-@pandas_udf("array<struct<x:double,y:double>>")
+_POINTS = ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
+
+
+@pandas_udf(_POINTS)
+def cut_polyline(lines: pd.Series, t0: pd.Series, t1: pd.Series) -> pd.Series:
+    """The part of a line between two shares of its length; null if nothing is left."""
+
+    def cut(line, a, b):
+        if line is None:
+            return None
+        p, a, b = _xy(line), max(0.0, a), min(1.0, b)
+        cum = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(p, axis=0).T))])
+        if cum[-1] <= EPS or b - a <= EPS:
+            return None
+        ends = [[np.interp(t * cum[-1], cum, p[:, k]) for k in (0, 1)] for t in (a, b)]
+        inner = p[(cum > a * cum[-1] + EPS) & (cum < b * cum[-1] - EPS)].tolist()
+        out = [ends[0]]
+        for q in [*inner, ends[1]]:
+            if math.dist(q, out[-1]) > EPS:
+                out.append(q)
+        return [{"x": float(x), "y": float(y)} for x, y in out] if len(out) > 1 else None
+
+    return pd.Series([cut(*row) for row in zip(lines, t0, t1)], dtype=object)
+
+
+@pandas_udf(_POINTS)
 def convex_hull(rings: pd.Series) -> pd.Series:
     return rings.map(lambda r: None if r is None else [{"x": float(x), "y": float(y)} for x, y in hull(_xy(r))])
 
 
-@pandas_udf("struct<length:double,width:double,direction:double,hull_area:double>")
+@pandas_udf(StructType([StructField(n, DoubleType()) for n in ("length", "width", "direction", "hull_area")]))
 def envelope(rings: pd.Series) -> pd.DataFrame:
     """The smallest rectangle and the hull's area."""
     out = []

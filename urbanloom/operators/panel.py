@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from urbanloom.core.tables import stored
 from urbanloom.operators.linear import Fit, Moments, _deviations, combined, f_tail, lagged
@@ -20,7 +21,7 @@ from urbanloom.operators.linear import Fit, Moments, _deviations, combined, f_ta
 _ROOT = math.sqrt(2 * math.pi)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     """The normal distribution function; neither engine's SQL has one."""
     return pd.Series([0.5 * math.erfc(-x / math.sqrt(2)) for x in z.to_numpy(float)], dtype=float)

@@ -178,8 +178,8 @@ WITH {_pv} {' UNION ALL '.join(f"SELECT '{v}' AS equation, '{t}' AS term, {R(f's
 UNION ALL SELECT 'y', 'cov_y', {R('avg(e1 * e1)')} FROM e UNION ALL SELECT 'y', 'cov_x1', {R('avg(e1 * e2)')} FROM e UNION ALL SELECT 'x1', 'cov_y', {R('avg(e1 * e2)')} FROM e UNION ALL SELECT 'x1', 'cov_x1', {R('avg(e2 * e2)')} FROM e""")
 
 # local statistics
-NEAR = f"SELECT a.id AS i, b.id AS j, pow(1 - pow({D} / 100, 2), 2) AS k, b.v AS v, b.v2 AS v2 FROM {{points}} a JOIN {{points}} b ON {D} < 100"
-query("gwr", lambda p: local.gwr(p, "v", ["v2"], 100.0, "fixed_bisquare").select("id", "support", "fitted", "r2", "beta_intercept", "beta_v2"), "points", sql=f"""
+NEAR = f"SELECT a.id AS i, b.id AS j, pow(1 - pow({D} / 200, 2), 2) AS k, b.v AS v, b.v2 AS v2 FROM {{points}} a JOIN {{points}} b ON {D} < 200"
+query("gwr", lambda p: local.gwr(p, "v", ["v2"], 200.0, "fixed_bisquare").select("id", "support", "fitted", "r2", "beta_intercept", "beta_v2"), "points", sql=f"""
 WITH n AS ({NEAR}), s AS (SELECT i, count(*) FILTER (k > 1e-12) AS support, sum(k) AS w, sum(k * v2) AS sx, sum(k * v2 * v2) AS xx, sum(k * v) AS sy, sum(k * v2 * v) AS xy, sum(k * v * v) AS yy FROM n GROUP BY i),
 b AS (SELECT *, CASE WHEN w * xx - sx * sx > 1e-12 THEN (w * xy - sx * sy) / (w * xx - sx * sx) END AS b1 FROM s), c AS (SELECT *, (sy - b1 * sx) / w AS b0 FROM b WHERE b1 IS NOT NULL AND support > 2)
 SELECT c.i AS id, support, {R('b0 + b1 * p.v2')} AS fitted, {R('1 - (yy - b0 * sy - b1 * xy) / (yy - sy * sy / w)')} AS r2, {R('b0')} AS beta_intercept, {R('b1')} AS beta_v2 FROM c JOIN {{points}} p ON p.id = c.i""")

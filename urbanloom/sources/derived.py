@@ -36,10 +36,10 @@ RELATIONS = {
     # judgements of five criteria, not quite consistent
     "judgements": "SELECT CAST(a.n_nationkey AS INT) AS i, CAST(b.n_nationkey AS INT) AS j, CAST(1 + a.n_nationkey AS DOUBLE) / (1 + b.n_nationkey) * CASE WHEN (a.n_nationkey + b.n_nationkey) % 2 = 0 THEN CAST(1 AS DOUBLE) WHEN a.n_nationkey < b.n_nationkey THEN CAST(5 AS DOUBLE) / 4 ELSE CAST(4 AS DOUBLE) / 5 END AS value FROM {nation} a JOIN {nation} b ON a.n_nationkey < 5 AND b.n_nationkey < 5",
     # street grids of 5 x 5 nodes, as many as there are parts for, and their edges
-    "block_nodes": "SELECT p_partkey - 1 AS node, CAST((p_partkey - 1) % 5 AS DOUBLE) + 10 * floor((p_partkey - 1) / 25) AS x, CAST(floor(((p_partkey - 1) % 25) / 5) AS DOUBLE) AS y, CAST(1 + p_partkey % 9 AS DOUBLE) AS pop FROM {part}",
-    "block_edges": "SELECT 2 * (a.p_partkey - 1) + CASE WHEN b.p_partkey = a.p_partkey + 1 THEN 0 ELSE 1 END AS edge, a.p_partkey - 1 AS src, b.p_partkey - 1 AS dst, CAST(1 + (a.p_partkey * 7 + b.p_partkey * 3) % 5 AS DOUBLE) AS cost, CAST(1 + (a.p_partkey + b.p_partkey * 2) % 4 AS INT) AS lts, CAST(a.p_partkey % 7 AS DOUBLE) / 7 AS shade, CAST(20 + b.p_partkey % 20 AS DOUBLE) AS lst, CAST(10 + a.p_partkey % 30 AS DOUBLE) AS capacity FROM {part} a JOIN {part} b ON floor((a.p_partkey - 1) / 25) = floor((b.p_partkey - 1) / 25) AND ((b.p_partkey = a.p_partkey + 1 AND (a.p_partkey - 1) % 5 < 4) OR b.p_partkey = a.p_partkey + 5)",
+    "block_nodes": "SELECT p_partkey AS node, CAST(p_partkey % 5 AS DOUBLE) + 10 * floor(p_partkey / 25) AS x, CAST(floor((p_partkey % 25) / 5) AS DOUBLE) AS y, CAST(1 + p_partkey % 9 AS DOUBLE) AS pop FROM {part}",
+    "block_edges": "SELECT 2 * a.p_partkey + CASE WHEN b.p_partkey = a.p_partkey + 1 THEN 0 ELSE 1 END AS edge, a.p_partkey AS src, b.p_partkey AS dst, CAST(1 + (a.p_partkey * 7 + b.p_partkey * 3) % 5 AS DOUBLE) AS cost, CAST(1 + (a.p_partkey + b.p_partkey * 2) % 4 AS INT) AS lts, CAST(a.p_partkey % 7 AS DOUBLE) / 7 AS shade, CAST(20 + b.p_partkey % 20 AS DOUBLE) AS lst, CAST(10 + a.p_partkey % 30 AS DOUBLE) AS capacity FROM {part} a JOIN {part} b ON floor(a.p_partkey / 25) = floor(b.p_partkey / 25) AND ((b.p_partkey = a.p_partkey + 1 AND a.p_partkey % 5 < 4) OR b.p_partkey = a.p_partkey + 5)",
     # quadrilaterals, a vertex a row
-    "corners": "SELECT CAST(floor((p_partkey - 1) / 4) AS BIGINT) AS id, CAST((p_partkey - 1) % 4 AS INT) AS seq, CASE (p_partkey - 1) % 4 WHEN 0 THEN 0 WHEN 1 THEN 6 WHEN 2 THEN 7 ELSE 1 END + CAST(p_partkey % 13 AS DOUBLE) / 13 AS x, CASE (p_partkey - 1) % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 5 ELSE 4 END + CAST(p_partkey % 11 AS DOUBLE) / 11 AS y FROM {part}",
+    "corners": "SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS id, CAST(p_partkey % 4 AS INT) AS seq, CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 6 WHEN 2 THEN 7 ELSE 1 END + CAST(p_partkey % 13 AS DOUBLE) / 13 AS x, CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 5 ELSE 4 END + CAST(p_partkey % 11 AS DOUBLE) / 11 AS y FROM {part}",
     # raster cells, 40 columns wide
     "cells": "SELECT CAST(floor((p_partkey - 1) / 40) AS INT) AS r, CAST((p_partkey - 1) % 40 AS INT) AS c, p_retailprice AS z, CAST(p_size AS DOUBLE) AS a, CAST(p_partkey % 7 AS DOUBLE) / 7 AS b FROM {part}",
 }
