@@ -1,15 +1,17 @@
 """Benchmark decontamination: one Aho-Corasick automaton over all windows of the normalised test items.
 
-Texts are normalised to lower-case ASCII letters and words joined by one space. The automaton scans the bytes of
-each normalised text once; hits are word ranges, which map back to code-point spans of the original.
+Texts are normalised to lower-case ASCII letters and words. The automaton's symbols are words of the test items, each as
+a few digits whose ranges differ by place, so that a match begins and ends at words and no state has many ways out; a
+word that no item has is a symbol that no window has. A text is scanned once; hits are word ranges, which map back to
+code-point spans of the original.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from itertools import chain, repeat
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +24,10 @@ from urbanloom.session import ship
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
-#: Bytes of test items that one automaton may hold; larger sets are scanned in several rounds, part by part.
-AUTOMATON_BYTES = 8 << 20
+#: Bytes of test items that one automaton holds (about 150 bytes of memory each); larger sets are scanned part by part.
+AUTOMATON_BYTES = 1 << 20
+#: Words of an item that are kept together; longer items are cut into slices that overlap by a window less a word.
+SLICE = 5000
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else (32 if b in SEPARATORS else b) for b in range(256))
 _BUILT: dict[str, object] = {}
 
@@ -32,69 +36,95 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-def automaton(items: list[tuple], window: int):
-    """Over the windows of (item key, words) pairs; a window's value is its number of words and its items' keys."""
-    import ahocorasick
-
-    owners: dict[bytes, list] = {}
-    for key, words in items:
-        size = min(window, len(words))
-        for i in range(len(words) - size + 1 if words else 0):
-            at = owners.setdefault(b" " + b" ".join(words[i : i + size]) + b" ", [size, {}])
-            at[1][key] = None
-    built = ahocorasick.Automaton()
-    for k, (size, keys) in owners.items():
-        built.add_word(k.decode("latin-1"), (len(k), size, tuple(keys)))
-    if owners:
-        built.make_automaton()
-    return built if owners else None
-
-
-def automaton_of(name: str, sent, window: int):
+class Windows:
+    """The automaton over the windows of (item key, words) pairs, and which items have each window."""
+
+    def __init__(self, items: list[tuple], window: int):
+        import ahocorasick
+
+        numbers: dict[bytes, int] = {}
+        for _, words in items:
+            for w in words:
+                numbers.setdefault(w, len(numbers))
+        self.digits = 1
+        while 256**self.digits < len(numbers):
+            self.digits += 1
+        self.symbols = {w: tuple(256 * k + (n >> (8 * k) & 255) for k in range(self.digits)) for w, n in numbers.items()}
+        self.unknown = (256 * self.digits,) * self.digits
+        owners: dict[tuple, dict] = {}
+        for key, words in items:
+            size = min(window, len(words))
+            for i in range(len(words) - size + 1 if words else 0):
+                owners.setdefault(tuple(words[i : i + size]), {})[key] = None
+        self.built = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        # windows of the same items share a number, so a text takes up each set of items once
+        groups: dict[tuple, int] = {}
+        for words, keys in owners.items():
+            group = groups.setdefault(tuple(keys), len(groups))
+            self.built.add_word(tuple(chain.from_iterable(map(self.symbols.__getitem__, words))), (len(words), group))
+        self.groups = list(groups)
+        if owners:
+            self.built.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+        """Word ranges hit (merged, end exclusive) and the keys of items of which a window occurs."""
+        if not self.groups or not words:
+            return [], set()
+        text = tuple(chain.from_iterable(map(self.symbols.get, words, repeat(self.unknown))))
+        spans, seen = [], set()
+        for end, (size, group) in self.built.iter(text):
+            last = (end + 1) // self.digits
+            spans.append((last - size, last))
+            seen.add(group)
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(spans):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        return merged, {k for g in seen for k in self.groups[g]}
+
+
+def windows_of(name: str, sent, window: int) -> Windows:
     """The automaton over a broadcast of items; a Python worker builds it once."""
     if name not in _BUILT:
         _BUILT.clear()
-        _BUILT[name] = automaton(sent.value, window)
+        _BUILT[name] = Windows([(k, t.split()) for k, t in sent.value], window)
     return _BUILT[name]
 
 
-def scan(words: list[bytes], built) -> tuple[list[tuple[int, int]], set]:
-    """Word ranges hit (merged, end exclusive) and the keys of items of which a window occurs."""
-    spans, keys = [], set()
-    if built is None or not words:
-        return spans, keys
-    line = b" " + b" ".join(words) + b" "
-    at = None
-    for end, (length, size, owner) in built.iter(line.decode("latin-1")):
-        if at is None:
-            at = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-        first = int(np.searchsorted(at, end - length + 1))
-        keys.update(owner)
-        spans.append((first, first + size))
-    spans.sort()
-    merged: list[tuple[int, int]] = []
-    for a, b in spans:
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return merged, keys
+def _slices(rows: DataFrame, window: int) -> DataFrame:
+    """(k, t): the items' (k, t) normalised words, at most SLICE windows a row."""
+
+    def run(batches):
+        for batch in batches:
+            keys, parts = [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words_of(t.as_buffer().to_pybytes())
+                for a in range(0, max(len(words) - window + 1, min(len(words), 1)), SLICE):
+                    keys.append(k)
+                    parts.append(b" ".join(words[a : a + SLICE + window - 1]))
+            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(parts, pa.binary())], names=["k", "t"])
+
+    return rows.mapInArrow(run, "k string, t binary")
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``carry``, ``n_words``, ``hits`` (word ranges), ``spans`` (code points of the original) and ``items`` for each row.
 
     Null and empty texts have no words. Items without words have no windows; equal items each count, and rows that
-    repeat an item id count as one item; null item ids are left out. Items are read in parts of at most
-    ``AUTOMATON_BYTES`` of text, the bound of what is broadcast at a time; each part scans all texts, which are written
-    with a row key by which the parts' hits are merged, so that no item or row is left out however many there are.
+    repeat an item id count as one item; null item ids are left out. Items are read in parts of about half of
+    ``AUTOMATON_BYTES`` of text, the bound of what is broadcast at a time (items are cut into slices first, so none is
+    larger); each part scans all texts, which are written with a row key by which the parts' hits are merged, so that no
+    item or row is left out however many there are, and rows that repeat or lack an id stay apart.
     Extra columns are not read.
     """
     spark = df.sparkSession
     ship(spark)
-    rows = benchmark.select(F.col(item_col).cast("string").alias("k"), F.col(item_text_col).cast("string").alias("t")).where("k is not null and t is not null")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("k"), F.col(item_text_col).cast("string").cast("binary").alias("t")).where("k is not null and t is not null")
+    rows = stored(_slices(rows, window).distinct(), "items")
     total = rows.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
-    n_parts = int(total // (AUTOMATON_BYTES // 2)) + 1
+    n_parts = int(2 * total // AUTOMATON_BYTES) + 1
     names = [id_col, *(c for c in carry if c != id_col)]
     passed = names
     if n_parts > 1:
@@ -106,19 +136,18 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
     def part(k: int) -> DataFrame:
         own = rows if n_parts == 1 else rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n_parts)) == k)
-        sent = spark.sparkContext.broadcast([(r["k"], words_of(r["t"].encode())) for r in own.collect()])
-
+        sent = spark.sparkContext.broadcast([(r["k"], bytes(r["t"])) for r in own.collect()])
         name = uuid.uuid4().hex
 
         def run(batches):
-            built = automaton_of(name, sent, window)
+            windows = windows_of(name, sent, window)
             for batch in batches:
                 for a, data, offs in K.chunks(batch.column(len(passed))):
                     counts, hits, spans, items = [], [], [], []
                     for i in range(len(offs) - 1):
                         text = data[offs[i] : offs[i + 1]].tobytes()
                         words = words_of(text)
-                        found, keys = scan(words, built)
+                        found, keys = windows.scan(words)
                         counts.append(len(words))
                         hits.append([{"a": x, "b": y} for x, y in found])
                         where = [m.span() for m in WORD.finditer(text.decode("utf-8").translate(_LOWER))] if found else []
