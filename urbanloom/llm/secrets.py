@@ -3,21 +3,26 @@
 Patterns find assignments, access keys and long hex runs. The battery looks at every other long run of encoding
 characters: it infers the encoding, tests whether its symbols are spread as a random string's would be (chi-squared
 uniformity, runs about the median, serial correlation) and whether that spread is too even for ordinary words. The
-p-values against ordinary words are held to a false-discovery rate over each text's candidates with weights by
-length (weighted Benjamini-Hochberg), so short candidates need stronger evidence.
+p-values against ordinary words are held to a false-discovery rate over the whole table with weights by length
+(weighted Benjamini-Hochberg), so short candidates need stronger evidence. A string is one hypothesis however often it
+occurs. A first scan gathers the hypotheses and gives the cutoff, a second one applies it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.core.ordered import numbered
 from urbanloom.llm import kernels as K
+from urbanloom.llm.storage import stored
 from urbanloom.session import ship
 
 #: Fixed by the contract: the base patterns and least lengths.
@@ -103,62 +108,92 @@ def battery(body: str) -> dict | None:
     return {"encoding": name, "p_uniform": p_uniform, "p_runs": p_runs, "p_serial": p_serial, "p_words": p_words}
 
 
-def discoveries(tested: list[tuple[int, float]], rate: float = FDR) -> list[int]:
-    """Weighted Benjamini-Hochberg over (length, p): which of them are discoveries. Weights are lengths over their mean."""
-    if not tested:
-        return []
-    mean = sum(n for n, _ in tested) / len(tested)
-    order = sorted((p * mean / n, i) for i, (n, p) in enumerate(tested))
-    last = max((k for k, (q, _) in enumerate(order, 1) if q <= rate * k / len(order)), default=0)
-    return sorted(i for _, i in order[:last])
+def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]:
+    """Pattern spans (start, kind, end), sorted, kinds numbering KINDS; and (start, end, p_words) of the candidates.
 
-
-def find(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of all spans, sorted; kinds number KINDS. Battery spans never overlap pattern spans."""
+    Candidates look random by all three tests and never overlap a pattern span.
+    """
     out = []
     low = text.encode("utf-8").lower()
     if any(x in low for x in _HINTS):
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
+    tested = []
     long = [m.span() for m in CANDIDATE.finditer(text)]
     if long:
         out += [(m.start(), 2, m.end()) for m in _HEX_LONG.finditer(text)]
-        taken = sorted((a, b) for a, _, b in out)
-        kept, tested = [], []
+        begins = sorted(a for a, _, _ in out)
+        reach, upto = [], 0
+        for b in (b for _, b in sorted((a, b) for a, _, b in out)):
+            upto = max(upto, b)
+            reach.append(upto)
         for a, b in long:
-            if any(x < b and a < y for x, y in taken):
+            before = bisect_left(begins, b)
+            if before and reach[before - 1] > a:
                 continue
             got = battery(text[a:b].rstrip("="))
             if got and min(got["p_uniform"], got["p_runs"], got["p_serial"]) >= LEVEL:
-                kept.append((a, b))
-                tested.append((b - a, got["p_words"]))
-        out += [(kept[i][0], 3, kept[i][1]) for i in discoveries(tested)]
+                tested.append((a, b, got["p_words"]))
     out.sort()
-    return out
+    return out, tested
 
 
 _RUN = K.table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 
 
-def rows_to_scan(data, offs) -> list[bool]:
-    """Rows that hold a run of 20 candidate characters or the start of an assignment; no other row has a span."""
+def rows_to_scan(data, offs, hints: bool = True) -> list[bool]:
+    """Rows that hold a run of 20 candidate characters or (``hints``) the start of an assignment; no other row has a span."""
     starts, ends, first = K.runs(_RUN[data], offs)
     long = np.concatenate([[0], np.cumsum(ends - starts >= 20)])
-    low = data.tobytes().lower()
+    low = data.tobytes().lower() if hints else b""
     if not any(x in low for x in _HINTS):
         return (long[first[1:]] > long[first[:-1]]).tolist()
     return [bool(n) or any(x in low[a:b] for x in _HINTS) for n, a, b in zip(long[first[1:]] - long[first[:-1]], offs[:-1], offs[1:])]
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), redacting: bool = True) -> DataFrame:
+def hypotheses(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(n, p): length and p-value of each distinct candidate string of the texts."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for a, data, offs in K.chunks(batch.column(0)):
+                part = batch.column(0).slice(a, len(offs) - 1)
+                found: dict[bytes, tuple[int, float]] = {}
+                for i, wanted in enumerate(rows_to_scan(data, offs, hints=False)):
+                    text = part[i].as_py() if wanted else ""
+                    for x, y, p in find(text)[1] if wanted else ():
+                        found[hashlib.sha256(text[x:y].encode()).digest()[:16]] = (y - x, p)
+                yield pa.record_batch([pa.array(list(found), pa.binary()), pa.array([n for n, _ in found.values()], pa.int64()), pa.array([p for _, p in found.values()], pa.float64())], names=["h", "n", "p"])
+
+    rows = df.select(F.col(text_col).cast("string").alias("_text_")).mapInArrow(run, "h binary, n long, p double")
+    return rows.groupBy("h").agg(F.first("n").alias("n"), F.first("p").alias("p")).select("n", "p")
+
+
+def cutoff(tested: DataFrame, rate: float = FDR) -> float:
+    """Weighted Benjamini-Hochberg over (n, p), weights n over their mean: discoveries are those with p / n up to this."""
+    tested = stored(tested, "hypotheses")
+    m, total = tested.agg(F.count("*"), F.sum("n")).first()
+    if not m:
+        return -1.0
+    # k of m candidates are found if the k-th least p * mean / n is at most rate * k / m; ranks of those that can be
+    some = tested.select((F.col("p") / F.col("n")).alias("q"), "n").where(F.col("q") * (total / m) <= rate)
+    ranked = numbered(some, [F.col("q"), F.col("n")], "k")
+    last = ranked.where(F.col("q") * (total / m) <= F.lit(rate) * F.col("k") / m).agg(F.max("q")).first()[0]
+    return -1.0 if last is None else float(last)
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), redacting: bool = True, rate: float = FDR) -> DataFrame:
     """``id_col``, ``carry``, ``spans`` (kind, start, end in code points, end exclusive; by start, then kind) and
     ``redacted`` (the text with each covered stretch replaced by ``<secret>``; null without ``redacting``) for each row.
 
     Null and empty texts have no spans (a null text stays null when redacted). Repeated rows and null ids are kept,
-    ties of start are ordered as KINDS is; other columns are not read.
+    ties of start are ordered as KINDS is; other columns are not read. Random strings are found at the false-discovery
+    rate ``rate`` over all texts of ``df``, which is read twice. An empty table gives an empty one.
     """
     ship(df.sparkSession)
+    limit = cutoff(hypotheses(df, text_col), rate)
     names = [id_col, *(c for c in carry if c != id_col)]
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -170,7 +205,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: t
                 spans, clean = [], []
                 for i, wanted in enumerate(rows_to_scan(data, offs)):
                     text = part[i].as_py() if wanted or redacting else None
-                    found = find(text) if wanted else []
+                    found, tested = find(text) if wanted else ([], [])
+                    found = sorted([*found, *((x, 3, y) for x, y, p in tested if p / (y - x) <= limit)])
                     spans.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found])
                     clean.append(redact(text, found) if redacting else None)
                 yield pa.record_batch([*(c.slice(a, len(spans)) for c in batch.columns[: len(names)]), pa.array(spans, kinds), pa.array(clean, pa.string())], names=[*names, "spans", "redacted"])
