@@ -18,7 +18,8 @@ from urbanloom.session import ship
 
 #: Features are hashed to 2^BITS weights; the model is that many floats (1 MB), which bounds what is broadcast.
 BITS = 18
-#: Labelled documents that training reads at most, and how often it goes through them.
+#: Labelled documents that training reads at most (and at most training.TRAINING_BYTES of text), and how often it goes
+#: through them.
 TRAINING_ROWS, EPOCHS = 6000, 4
 
 _KIND = np.zeros(256, np.uint8)
@@ -112,7 +113,7 @@ def fit(df: DataFrame, labels: DataFrame, keep, label: str = "quality", rows: in
         w = train(t.column("_text").combine_chunks(), t.column("_label").to_numpy())
         yield pa.record_batch([pa.array([w.tobytes()], pa.binary())], names=["w"])
 
-    drawn = sample(df, labels, label, keep, rows).select("doc_id", "_text", "_label")
+    drawn = sample(df, labels, label, keep, rows)
     ordered = drawn.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("_text"))
     got = ordered.mapInArrow(run, "w binary").collect()
     return np.frombuffer(got[0]["w"], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)

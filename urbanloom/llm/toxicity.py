@@ -22,14 +22,17 @@ from urbanloom.llm import kernels as K
 from urbanloom.llm.training import held_out, sample
 from urbanloom.session import ship
 
-#: Labelled documents that training reads at most; landmarks, which bound the model's size.
-TRAINING_ROWS, LANDMARKS = 6000, 21
+#: Labelled documents that training reads at most (and at most training.TRAINING_BYTES of text); landmarks, which bound
+#: the model's size.
+TRAINING_ROWS, LANDMARKS = 6000, 28
+#: Bounds of training alone: sentences of either label, insulting words, their stems that can become landmarks, insults
+#: of which spoilt copies are made, words drawn from clean texts, and the hardest clean words added in each round.
+SENTENCES, INSULTS, STEMS, SPOILT, DRAWN, HARD = 4000, 3000, 400, 500, 8000, 2000
 #: Decay of the kernel for each character spanned, length of the subsequences (the code is for three), longest word compared at once
 #: (longer ones are cut into overlapping pieces) and longest landmark.
 DECAY, LENGTH, LONGEST, LANDMARK_LONGEST = 0.7, 3, 14, 9
-#: A word is compared if it has this share of some toxic landmark's neighbouring characters in their order, REACH
-#: places apart at most; others score FLOOR.
-SHARED, REACH, FLOOR = 0.6, 3, -2.0
+#: The score of words that are shorter than a subsequence, and the least one of others.
+FLOOR = -2.0
 #: Word scores above which words are counted, and the number of a document's features.
 LEVELS, FEATURES = (0.3, 0.6, 0.9), 7
 #: Word scores kept by a Python worker (memory only).
@@ -38,10 +41,6 @@ KEPT = 400_000
 _MARK = np.zeros(256, bool)
 _MARK[:128] = True
 _MARK[48:58] = _MARK[65:91] = _MARK[97:123] = False
-_CODE = np.zeros(256, np.int64)
-_CODE[97:123] = np.arange(26)
-_CODE[48:58] = 26
-_CODE[128:] = 27 + np.arange(128) % 5
 _SCORES: dict[str, dict[int, float]] = {}
 
 
@@ -131,41 +130,8 @@ def kernel(x: np.ndarray, t: np.ndarray) -> np.ndarray:
 class Model:
     """Landmarks and the machine's weights on the kernel with them; the curve from word scores to probability."""
 
-    def __init__(self, landmarks: list[bytes], toxic: list[bytes], beta: np.ndarray, bias: float, slope: np.ndarray, shift: float):
+    def __init__(self, landmarks: list[bytes], beta: np.ndarray, bias: float, slope: np.ndarray, shift: float):
         self.rows, self.beta, self.bias, self.slope, self.shift = rows_of(landmarks), beta, bias, slope, shift
-        # a bit for each pair of neighbours in a toxic landmark, in words of 64 bits by landmark
-        pairs = [sorted({(int(_CODE[x]), int(_CODE[y])) for x, y in zip(t, t[1:])}) for t in toxic]
-        self.slots: list[tuple[int, np.uint64, int]] = []
-        self.bits: list[np.ndarray] = []
-        used = 64
-        for own in pairs:
-            if used + len(own) > 64:
-                self.bits.append(np.zeros(1024, np.uint64))
-                used = 0
-            mask = 0
-            for x, y in own:
-                self.bits[-1][x * 32 + y] |= np.uint64(1 << used)
-                mask |= 1 << used
-                used += 1
-            self.slots.append((len(self.bits) - 1, np.uint64(mask), max(2, int(np.ceil(SHARED * len(own))))))
-
-    def candidates(self, kept: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a), bool)
-        if not len(a) or not self.bits:
-            return out
-        x, n = matrix(kept, a, b)
-        code = _CODE[x]
-        width = x.shape[1]
-        for k, bits in enumerate(self.bits):
-            got = np.zeros(len(a), np.uint64)
-            for d in range(1, min(REACH, width - 1) + 1):
-                both = bits[code[:, :-d] * 32 + code[:, d:]]
-                both[np.arange(width - d)[None, :] + d >= n[:, None]] = 0
-                got |= np.bitwise_or.reduce(both, axis=1)
-            for j, mask, least in self.slots:
-                if j == k:
-                    out |= np.bitwise_count(got & mask) >= least
-        return out
 
     def values(self, x: np.ndarray) -> np.ndarray:
         return kernel(x, self.rows) @ self.beta + np.float32(self.bias)
@@ -173,7 +139,7 @@ class Model:
     def word_scores(self, kept: np.ndarray, a: np.ndarray, b: np.ndarray, known: dict[int, float]) -> np.ndarray:
         """Scores of words; those seen before are looked up in ``known``."""
         out = np.full(len(a), FLOOR, np.float32)
-        wanted = np.flatnonzero((b - a >= LENGTH) & self.candidates(kept, a, b))
+        wanted = np.flatnonzero(b - a >= LENGTH) if len(self.beta) else np.zeros(0, np.int64)
         if not len(wanted):
             return out
         keys, first, inverse = np.unique(K.span_hash(kept, a[wanted], b[wanted]), return_index=True, return_inverse=True)
@@ -274,7 +240,7 @@ def _spoilt(word: bytes, rng: np.random.Generator) -> list[bytes]:
     return [*out, word[:k] + word[k + 1 :]] if len(word) > 6 else out
 
 
-def _sentences(texts: pa.Array, labels: np.ndarray, insults: dict[bytes, int], most: int = 4000) -> tuple[pa.Array, np.ndarray]:
+def _sentences(texts: pa.Array, labels: np.ndarray, insults: dict[bytes, int], most: int = SENTENCES) -> tuple[pa.Array, np.ndarray]:
     """Labelled sentences: of toxic texts those that hold an insult, of clean ones all, ``most`` of either at most."""
     out: list[list[str]] = [[], []]
     for text, y in zip(texts.to_pylist(), labels):
@@ -291,7 +257,7 @@ def train(texts: pa.Array, labels: np.ndarray, landmarks: int = LANDMARKS) -> Mo
     docs = _distinct(texts)
     toxic, clean = [d for d, y in zip(docs, labels) if y], [d for d, y in zip(docs, labels) if not y]
     share = np.clip(len(toxic) / max(len(docs), 1), 0.01, 0.49)
-    constant = Model([], [], np.zeros(0, np.float32), FLOOR, np.zeros(FEATURES), float(np.log(share / (1 - share))))
+    constant = Model([], np.zeros(0, np.float32), FLOOR, np.zeros(FEATURES), float(np.log(share / (1 - share))))
     counts: list[dict[bytes, int]] = [{}, {}]
     for c, part in zip(counts, (toxic, clean)):
         for d in part:
@@ -314,11 +280,11 @@ def train(texts: pa.Array, labels: np.ndarray, landmarks: int = LANDMARKS) -> Mo
     if not any(len(c) >= LENGTH for c in cores):
         return constant
     rng = np.random.Generator(np.random.PCG64(11))
-    ordered = sorted(insults, key=lambda w: (-insults[w], w))[:3000]
+    ordered = sorted(insults, key=lambda w: (-insults[w], w))[:INSULTS]
     pool = sorted(w for w in sides[1] if w not in insults)
     often = np.array([sides[1][w] for w in pool], np.float64)
     # landmarks: the core least like those taken so far, by how often it occurs; then a few words of clean texts
-    first = sorted((c for c in cores if len(c) >= LENGTH), key=lambda c: (-cores[c], c))[:400]
+    first = sorted((c for c in cores if len(c) >= LENGTH), key=lambda c: (-cores[c], c))[:STEMS]
     like = kernel(rows_of(first), rows_of(first))
     weight = np.log1p([cores[c] for c in first])
     taken, near = [0], like[:, 0].copy()
@@ -332,35 +298,29 @@ def train(texts: pa.Array, labels: np.ndarray, landmarks: int = LANDMARKS) -> Mo
     zz = kernel(rows_of(marks), rows_of(marks)).astype(np.float64)
     value, vector = np.linalg.eigh((zz + zz.T) / 2)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    copies = [(s, w) for w in ordered[:500] for s in _spoilt(w, rng)]
+    copies = [(s, w) for w in ordered[:SPOILT] for s in _spoilt(w, rng)]
     yes = ordered + [s for s, _ in copies]
     worth = np.sqrt([insults[w] for w in ordered] + [insults[w] for _, w in copies])
     worth /= worth.sum()
-    drawn = [pool[i] for i in rng.choice(len(pool), min(8000, len(pool)), replace=False)] if pool else []
+    drawn = [pool[i] for i in rng.choice(len(pool), min(DRAWN, len(pool)), replace=False)] if pool else []
     seen = {w: i for i, w in enumerate(pool)}
     k_yes = kernel(rows_of(yes), rows_of(marks))
-    # only clean words that the model would compare can be hard; the others stand for themselves
-    gate = Model(marks, toxic_marks, np.zeros(len(marks), np.float32), 0.0, np.zeros(FEATURES), 0.0)
-    size = np.array([len(w) for w in pool], np.int64)
-    end = np.cumsum(size)
-    near_words = np.flatnonzero(gate.candidates(np.frombuffer(b"".join(pool), np.uint8), end - size, end)) if pool else np.zeros(0, np.int64)
-    used = np.array(sorted(set(near_words.tolist()) | {seen[w] for w in drawn}), np.int64)
-    k_pool = kernel(rows_of([pool[i] for i in used]), rows_of(marks))
-    no = np.flatnonzero(np.isin(used, [seen[w] for w in drawn])).tolist()
+    k_pool = kernel(rows_of(pool), rows_of(marks))
+    no = sorted({seen[w] for w in drawn})
     beta, bias = np.zeros(len(marks)), 0.0
     for _ in range(4):  # each time with the clean words that are hardest so far
-        k_no, common = k_pool[no], often[used[no]]
+        k_no, common = k_pool[no], often[no]
         x = np.concatenate([k_yes, k_no]) @ root
         y = np.concatenate([np.ones(len(k_yes)), -np.ones(len(k_no))])
         cost = np.concatenate([worth, common / max(common.sum(), 1)]) * 100
         w = machine(x, y, cost)
         beta, bias = root @ w[:-1], float(w[-1])
-        hard = np.argsort(-(k_pool @ beta))[:2000].tolist()
+        hard = np.argsort(-(k_pool @ beta))[:HARD].tolist()
         more = sorted(set(no) | set(hard))
         if more == no:
             break
         no = more
-    model = Model(marks, toxic_marks, beta.astype(np.float32), bias, np.zeros(FEATURES), 0.0)
+    model = Model(marks, beta.astype(np.float32), bias, np.zeros(FEATURES), 0.0)
     known: dict[int, float] = {}
     parts, marked = _sentences(texts, labels, insults)
     z = np.concatenate([model.features(data, offs, known) for t in (texts, parts) for _, data, offs in K.chunks(t)])
@@ -386,9 +346,9 @@ def fit(df: DataFrame, labels: DataFrame, keep, label: str = "toxic", rows: int
             model = train(t.column("_text").combine_chunks(), t.column("_label").to_numpy())
             yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["m"])
 
-    drawn = sample(df, labels, label, keep, rows).select("doc_id", "_text", "_label")
+    drawn = sample(df, labels, label, keep, rows)
     got = drawn.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("_text")).mapInArrow(run, "m binary").collect()
-    return pickle.loads(bytes(got[0]["m"])) if got else Model([], [], np.zeros(0, np.float32), FLOOR, np.zeros(FEATURES), -2.0)
+    return pickle.loads(bytes(got[0]["m"])) if got else Model([], np.zeros(0, np.float32), FLOOR, np.zeros(FEATURES), -2.0)
 
 
 def scores_of(name: str) -> dict[int, float]:
@@ -402,7 +362,7 @@ def scores_of(name: str) -> dict[int, float]:
 def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``score`` (0 to 1) and ``best`` (the highest word score) for each row.
 
-    Null and empty texts and texts without a candidate word get the lowest word scores. Repeated rows and null ids are
+    Null and empty texts and texts of short words alone get the lowest word scores. Repeated rows and null ids are
     kept, an empty table gives an empty one, other columns are not read. A text's words are all looked at.
     """
     import uuid
