@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from urbanloom.llm import bpe, decontam, minhash, quality, secrets
 from urbanloom.llm.queries import vocabulary
-from urbanloom.llm.storage import scratch_path
+from urbanloom.llm.storage import scratch_path, stored
 from urbanloom.llm.training import held_out
 from urbanloom.session import load
 
@@ -27,12 +27,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near duplicates (five-word shingles, similarity 0.8).
+    """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8): that of least id.
 
-    Rows that repeat a kept id are all kept; so are rows without an id.
+    Rows are written with a key of their own, so of rows that repeat the kept id one stays, and a row without an id stays
+    only where its whole group has none. Documents without words are no one's duplicates and all stay.
     """
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row").alias("key"), "text")
+    gone = minhash.near_duplicates(keyed, id_col="key").where("not kept").select("key.row")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
