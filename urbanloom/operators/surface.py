@@ -404,7 +404,8 @@ def sky_view_factor(cells: DataFrame, pixel: float, directions: int = 16, radius
             for dr, dc in _ray(2 * math.pi * d / directions, steps):
                 with np.errstate(invalid="ignore"):
                     np.fmax(top, (_shifted(base, dr, dc, -np.inf) - base) / (math.hypot(dr, dc) * pixel), out=top)
-            total += top * top / (1 + top * top)
+            with np.errstate(invalid="ignore"):  # cells without data look up endlessly
+                total += top * top / (1 + top * top)
         return {"svf": np.clip(1 - total / directions, 0, 1)}
 
     return tiled(_valid(cells), ["z"], steps, work, "svf double")
