@@ -139,3 +139,8 @@ def fdr_adjust(df: DataFrame, p: str = "p", id_col: str = "id") -> DataFrame:
     raw = up.select("_p", (F.col("_p") * F.col("_all") / F.col("_to")).alias("_q"))
     adj = running(raw, [F.col("_p").desc()], {"_least": ("min", F.col("_q"))}).select("_p", F.least("_least", F.lit(1.0)).alias("p_adj"))
     return df.join(adj, F.col(p) == F.col("_p"), "left").drop("_p")
+
+
+def local_moran_fdr(values: DataFrame, w: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """``local_moran`` with ``p_adj`` by the false-discovery rate and whether that is ``significant``."""
+    return fdr_adjust(local_moran(values, w, alpha)).withColumn("significant", F.col("p_adj") <= alpha)

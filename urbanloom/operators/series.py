@@ -62,6 +62,34 @@ def forecast_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (100 * F.coalesce(F.avg(share), F.lit(0.0))).alias("mape"))
 
 
+def forecast_cells(series: DataFrame, steps: int = 5, alpha: float = 0.3) -> DataFrame:
+    """(k, method, ahead, value): a forecast of each series (k, t, v) over the steps ahead; nulls, NaN and infinities don't count.
+
+    One value is repeated (constant), none gives 0 (none); others are smoothed exponentially. That is also what autoregressive
+    and forest forecasts come to where their libraries are missing, as here.
+    """
+    v = F.col("v").cast("double")
+    known = series.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).select("k", "t", v.alias("v"))
+    levels = exponential_smoothing(known, alpha, steps).select("k", "level")
+    n = known.groupBy("k").agg(F.count("*").alias("n"))
+    every = series.select("k").distinct().join(n, "k", "left").join(levels, "k", "left")
+    method = F.when(F.col("n").isNull(), "none").when(F.col("n") < 2, "constant").otherwise("exponential_smoothing")
+    return every.select("k", method.alias("method"), F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("ahead"), F.coalesce("level", F.lit(0.0)).alias("value"))
+
+
+def backtest(series: DataFrame, holdout: int = 3, alpha: float = 0.3) -> DataFrame:
+    """(k, n_train, n_test, mae, rmse, mape): the last ``holdout`` values of each series (k, t, v) against a forecast from those before; series
+    with fewer than two values more are left out."""
+    v = F.col("v").cast("double")
+    known = series.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    w = Window.partitionBy("k")
+    rows = known.select("k", "t", v.alias("v"), F.row_number().over(w.orderBy(F.col("t").desc())).alias("back"), F.count("*").over(w).alias("n")).where((F.col("n") >= holdout + 2) & F.lit(holdout >= 1))
+    levels = exponential_smoothing(rows.where(F.col("back") > holdout), alpha, 1).select("k", "level")
+    e = F.col("v") - F.col("level")
+    t = rows.where(F.col("back") <= holdout).join(levels, "k").groupBy("k").agg((F.max("n") - holdout).alias("n_train"), F.count("*").alias("n_test"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (100 * F.avg(F.when(F.abs("v") > 1e-9, F.abs(e / F.col("v"))))).alias("mape"))
+    return t.select("k", "n_train", "n_test", "mae", "rmse", "mape")
+
+
 def space_time_cube(points: DataFrame, cell: float, steps: int, how: str = "mean") -> DataFrame:
     """(bx, by, bt, value, n) from (x, y, t, v): bins from the minima; what lies on the last border falls in the last bin."""
     b = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("t").alias("t0"), F.max("t").alias("t1"))
