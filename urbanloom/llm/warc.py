@@ -221,12 +221,14 @@ def legacy_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     return rows.mapInArrow(run, "name string, keys array<string>, arc binary")
 
 
+#: Bodies travel compressed by this codec, as shuffles would else hold them nearly as they are.
+_CODEC = "zstd"
 _PARTS = "key string, kind string, id string, uri string, date string, ip string, mime string, http binary, payload_bytes long, payload_digest string, body binary"
 _TYPES = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}
 
 
 def from_arc(archives: DataFrame) -> DataFrame:
-    """The parts of the WARC records that stand for the records of ARC archives (name, keys, arc)."""
+    """The parts of the WARC records that stand for the records of ARC archives (name, keys, arc); bodies compressed."""
     ship(archives.sparkSession)
     names = [x.split()[0] for x in _PARTS.split(", ")]
 
@@ -236,7 +238,7 @@ def from_arc(archives: DataFrame) -> DataFrame:
                 own, rows = iter(keys), []
                 for _, fields, document, offset in parse_arc(arc.as_buffer().to_pybytes()):
                     made = convert(fields, document, name, offset)
-                    rows.append(made | {"key": None if made["kind"] == "warcinfo" else next(own)})
+                    rows.append(made | {"key": None if made["kind"] == "warcinfo" else next(own), "body": pa.compress(made["body"], _CODEC, asbytes=True)})
                 yield pa.record_batch([pa.array([r[n] for r in rows], _TYPES[t.split()[1]]) for n, t in zip(names, _PARTS.split(", "))], names=names)
 
     return archives.mapInArrow(run, _PARTS)
@@ -255,6 +257,8 @@ def write_archives(records: DataFrame, path: str) -> None:
         for batch in batches:
             for a in range(0, batch.num_rows, 100):
                 for r in batch.slice(a, 100).to_pylist():
+                    whole = 0 if r["record_type"] == "revisit" else r["payload_bytes"]
+                    r["body"] = pa.decompress(r["body"], whole, _CODEC, asbytes=True) if whole else b""
                     record = warc_record(r, r["record_type"], r["key"] or "", r["refers"])
                     held.append(members(record))
                     size += len(record)
