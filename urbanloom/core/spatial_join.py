@@ -54,6 +54,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, left_key: str = "id", rig
         ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
         if radius >= span:
             return ranked if out is None else out.unionByName(ranked)
+        ranked = stored(ranked, "near")  # k rows a left row; the pairs are made once
         done = ranked.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("i")
         settled = ranked.join(done, "i", "left_semi")
         out = settled if out is None else out.unionByName(settled)
