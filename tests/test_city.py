@@ -228,3 +228,14 @@ def test_demo_city_follows_its_seed(spark):
     assert [uses[k] for k in ((0, 0), (0, 1), (1, 0), (1, 1))] == ["residential", "commercial", "green", "school"]
     assert a["heights"].agg(F.max("z")).first()[0] == pytest.approx(a["buildings"].agg(F.max("height")).first()[0])
     assert a["buildings"].join(a["blocks"].where("use = 'green'"), ["bx", "by"]).count() == 0 and a["demand"].where("pop < 1").count() == 0
+
+
+def test_queries_are_registered_before_spark_starts():
+    """The entry module is imported by a process that has no session yet."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[1])
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and int(out.stdout) > 400, out.stderr

@@ -32,7 +32,7 @@ reached = lambda p: p.select("id", intervals.reach(F.col("u") * 10, F.col("v") *
 REACH = "f AS (SELECT id, greatest(0, least(1, (6 - u * 10) / (1 + w * 5))) AS a, greatest(0, least(1, (6 - v * 10) / (1 + w * 5))) AS b FROM {plots}), r AS (SELECT id, a + b >= 1 - 1e-9 AS whole, a, b FROM f)"
 query("reach_fractions", lambda p: reached(p).select("id", "r.whole", "r.a", "r.b"), P, sql=f"WITH {REACH} SELECT id, whole, {R('a')} AS a, {R('b')} AS b FROM r")
 query("edge_intervals", lambda p: reached(p).select("id", intervals.of_edge(F.col("r")).alias("i")).select("id", F.size("i").alias("n"), intervals.length(F.col("i")).alias("length")), P, sql=f"WITH {REACH} SELECT id, CASE WHEN whole THEN 1 ELSE (a > 1e-9)::INT + (b > 1e-9)::INT END AS n, {R('CASE WHEN whole THEN 1 ELSE a + b END')} AS length FROM r")
-fifth = F.array(intervals.piece(F.lit(0.2), F.lit(0.6)))
+fifth = lambda: F.array(intervals.piece(F.lit(0.2), F.lit(0.6)))
 _over = "greatest(0, least(a, 0.6) - 0.2) + greatest(0, 0.6 - greatest(1 - b, 0.2))"
 query("subtract_intervals", lambda p: reached(p).select("id", intervals.length(intervals.without(intervals.of_edge(F.col("r")), fifth)).alias("length")), P, sql=f"WITH {REACH} SELECT id, {R(f'CASE WHEN whole THEN 0.6 ELSE a + b - ({_over}) END')} AS length FROM r")
 query("merged_intervals", lambda p: p.select("id", intervals.merged(F.array(intervals.piece(F.col("v"), F.col("v") + 0.3), intervals.piece(F.col("u"), F.col("u") + 0.2))).alias("m")).select("id", F.size("m").alias("n"), intervals.length(F.col("m")).alias("length")), P, sql=f"""
