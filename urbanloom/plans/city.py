@@ -34,7 +34,7 @@ query("reach_fractions", lambda p: reached(p).select("id", "r.whole", "r.a", "r.
 query("edge_intervals", lambda p: reached(p).select("id", intervals.of_edge(F.col("r")).alias("i")).select("id", F.size("i").alias("n"), intervals.length(F.col("i")).alias("length")), P, sql=f"WITH {REACH} SELECT id, CASE WHEN whole THEN 1 ELSE (a > 1e-9)::INT + (b > 1e-9)::INT END AS n, {R('CASE WHEN whole THEN 1 ELSE a + b END')} AS length FROM r")
 fifth = lambda: F.array(intervals.piece(F.lit(0.2), F.lit(0.6)))
 _over = "greatest(0, least(a, 0.6) - 0.2) + greatest(0, 0.6 - greatest(1 - b, 0.2))"
-query("subtract_intervals", lambda p: reached(p).select("id", intervals.length(intervals.without(intervals.of_edge(F.col("r")), fifth)).alias("length")), P, sql=f"WITH {REACH} SELECT id, {R(f'CASE WHEN whole THEN 0.6 ELSE a + b - ({_over}) END')} AS length FROM r")
+query("subtract_intervals", lambda p: reached(p).select("id", intervals.length(intervals.without(intervals.of_edge(F.col("r")), fifth())).alias("length")), P, sql=f"WITH {REACH} SELECT id, {R(f'CASE WHEN whole THEN 0.6 ELSE a + b - ({_over}) END')} AS length FROM r")
 query("merged_intervals", lambda p: p.select("id", intervals.merged(F.array(intervals.piece(F.col("v"), F.col("v") + 0.3), intervals.piece(F.col("u"), F.col("u") + 0.2))).alias("m")).select("id", F.size("m").alias("n"), intervals.length(F.col("m")).alias("length")), P, sql=f"""
 WITH i AS (SELECT id, v AS a0, least(v + 0.3, 1) AS a1, u AS b0, least(u + 0.2, 1) AS b1 FROM {{plots}}) SELECT id, CASE WHEN greatest(a0, b0) <= least(a1, b1) + 1e-9 THEN 1 ELSE 2 END AS n, {R('a1 - a0 + b1 - b0 - greatest(0, least(a1, b1) - greatest(a0, b0))')} AS length FROM i""")
 query("entry_interval", lambda p: p.select("id", intervals.about(F.col("u"), F.col("v") * 2, 1 + F.col("w"), 1.0).alias("x")).select("id", "x.lo", "x.hi"), P, sql=f"WITH s AS (SELECT id, u, 1 - v * 2 AS b, (1 - v * 2) / (1 + w) AS s FROM {{plots}}) SELECT id, {R('CASE WHEN b > 1e-9 THEN greatest(u - s, 0) END')} AS lo, {R('CASE WHEN b > 1e-9 THEN least(u + s, 1) END')} AS hi FROM s")
