@@ -239,3 +239,31 @@ def test_queries_are_registered_before_spark_starts():
     root = str(Path(__file__).resolve().parents[1])
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"], cwd=root, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0 and int(out.stdout) > 400, out.stderr
+
+
+def test_fronts_of_many_objectives_equal_brute_force(spark):
+    from urbanloom.operators import quality
+
+    rng = random.Random(9)
+    rows = [(i, float(rng.randrange(6)), float(rng.randrange(6)), rng.choice([1.0, 2.0, 3.0, None, float("nan")])) for i in range(150)] * 2
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    good = [(i, a, -b, c) for i, a, b, c in rows if c is not None and c == c]
+    beats = lambda x, y: all(p >= q for p, q in zip(x[1:], y[1:])) and x[1:] != y[1:]
+    want = sorted(i for i, *v in good if not any(beats(o, (i, *v)) for o in good))
+    out = quality.pareto_front_of(df, ["a", "b", "c"], [True, False, True])
+    assert sorted(r.id for r in out.where("on_front").collect()) == want and out.count() == 300
+    assert quality.pareto_front_of(df.limit(0), ["a"]).count() == 0
+    with pytest.raises(ValueError):
+        quality.pareto_front_of(df, ["a", "b"], [True])
+
+
+def test_shadows(spark):
+    from urbanloom.operators import hazards
+
+    square = lambda x, y, n: [(x, y), (x + n, y), (x + n, y + n), (x, y + n)]
+    df = spark.createDataFrame([(1, square(0.0, 0.0, 10.0), 20.0), (2, square(0.0, 14.0, 10.0), 5.0), (3, square(100.0, 0.0, 4.0), 5.0)], "id int, coords array<struct<x:double,y:double>>, height double")
+    rows, area = hazards.shadow_access(df, 45.0, 180.0, 1.0)
+    got = {r.id: (round(r.shadow, 6), r.access) for r in rows.collect()}
+    assert got == {1: (20.0, 100.0), 2: (5.0, 0.0), 3: (5.0, 100.0)}
+    assert area.first().footprint_area == 216.0 and area.first().shadow_area == 10 * 30 + 4 * 9
+    assert hazards.shadow_access(df.limit(0), 45.0, 180.0)[1].first().shadow_area == 0.0

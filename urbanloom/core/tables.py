@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from urbanloom.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of our own only where it is unset and Spark is local (tests)."""
@@ -29,6 +31,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to a scratch table and reads it back: the lineage is cut and nothing is computed twice."""
     spark = df.sparkSession
+    ship(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

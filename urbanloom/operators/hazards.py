@@ -5,13 +5,17 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanloom.core.ordered import numbered
 from urbanloom.core.spatial_join import nearest, range_join
 from urbanloom.core.tables import stored
+from urbanloom.functions.geometry import hull, ring_area
 from urbanloom.operators.services import gini_of
+from urbanloom.session import ship
 
 
 def _clip(x: Column, lo: float, hi: float) -> Column:
@@ -167,6 +171,69 @@ def daily_radiation(places: DataFrame, cloud: float = 0.2) -> DataFrame:
     return places.select("id", (1367 * dr * share).alias("peak"), (h * share / 3600 / 1000).alias("kwh"), F.degrees(d).alias("declination"), F.degrees(2 * ws / 15).alias("daylight"))
 
 
+def fire_front(fronts: DataFrame, slopes: DataFrame, safety: float = 1.5) -> DataFrame:
+    """(id, rate, forward, flank, buffer, semi_major, semi_minor) of fronts (id, wind in km/h, hours) on the steepest of their slopes (id, slope in
+    degrees), in metres: the flank is four tenths and the back one tenth of the way forward."""
+    rows = fronts.join(slopes.groupBy("id").agg(F.max("slope").alias("_s")), "id")
+    rate = (0.5 + 0.1 * F.col("wind")) * (1 + 0.05 * F.tan(F.radians("_s"))) * (1 + 0.02 * F.col("wind"))
+    far = rate * 60 * F.col("hours")
+    return rows.select("id", rate.alias("rate"), far.alias("forward"), (0.4 * far).alias("flank"), (far * safety).alias("buffer"), (0.55 * far).alias("semi_major"), (0.4 * far).alias("semi_minor"))
+
+
+def shadow_access(buildings: DataFrame, altitude: float, azimuth: float, cell: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """(id, shadow, access) and one row (shadow_area, footprint_area) of convex footprints (id, coords, height): the length of each one's shadow, the percentage of
+    its ground cells that no other building shades, and the area in shadow or under a building.
+
+    A building marks the cells under it and its shadow; a cell of its own ground is shaded where another one marks it too.
+    """
+    if not 0 < altitude <= 90 or not 0 <= azimuth < 360 or cell <= 0:
+        raise ValueError("altitude above 0 to 90, azimuth 0 to 360, cells above 0")
+    ship(buildings.sparkSession)
+    long = 0.0 if altitude == 90 else 1 / math.tan(math.radians(altitude))
+    step = (-math.sin(math.radians(azimuth)) * long, -math.cos(math.radians(azimuth)) * long)
+    low = lambda c, k: F.array_min(F.transform("coords", lambda p: F.least(p[c], p[c] + step[k] * F.col("height"))))
+    box = buildings.agg(F.min(low("x", 0)).alias("x"), F.min(low("y", 1)).alias("y")).first()
+    x0, y0 = (box["x"] or 0.0) - cell, (box["y"] or 0.0) - cell
+    kind = buildings.schema["id"].dataType.simpleString()
+
+    def marks(batches):
+        for batch in batches:
+            out = []
+            for i, coords, height in zip(batch["id"], batch["coords"], batch["height"]):
+                p = np.array([(c["x"], c["y"]) for c in coords], float)
+                whole = np.concatenate([p, p + np.array(step) * height])
+                own = _covered(hull(p), x0, y0, cell)
+                out += [(i, c, r, (c, r) in own) for c, r in _covered(hull(whole), x0, y0, cell)]
+            yield pd.DataFrame(out, columns=["id", "c", "r", "own"])
+
+    cells = stored(buildings.select("id", "coords", "height").mapInPandas(marks, f"id {kind}, c long, r long, own boolean"), "shadows")
+    counts = stored(cells.groupBy("c", "r").agg(F.count("*").alias("n")), "cells")
+    free = cells.where("own").join(counts, ["c", "r"]).groupBy("id").agg((100 * F.avg((F.col("n") < 2).cast("double"))).alias("access"))
+    rows = buildings.select("id", (F.col("height") * long).alias("shadow")).join(free, "id", "left").select("id", "shadow", F.coalesce("access", F.lit(100.0)).alias("access"))
+    area = buildings.agg(F.coalesce(F.sum(ring_area(F.col("coords"))), F.lit(0.0)).alias("footprint_area"))
+    return rows, counts.agg((F.count("*") * (cell * cell)).alias("shadow_area")).crossJoin(area)
+
+
+def _covered(outline: np.ndarray, x0: float, y0: float, cell: float) -> set[tuple[int, int]]:
+    """(column, row) of the cells whose middle lies in a convex outline (counter-clockwise) or on its border."""
+    if len(outline) < 3:
+        return set()
+    lo, hi = outline.min(axis=0), outline.max(axis=0)
+    c = np.arange(int((lo[0] - x0) / cell), int((hi[0] - x0) / cell) + 1)
+    r = np.arange(int((lo[1] - y0) / cell), int((hi[1] - y0) / cell) + 1)
+    x, y = np.meshgrid(x0 + (c + 0.5) * cell, y0 + (r + 0.5) * cell)
+    inside = np.ones(x.shape, bool)
+    for a, b in zip(outline, np.roll(outline, -1, axis=0)):
+        inside &= (b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= -1e-9
+    rr, cc = np.nonzero(inside)
+    return set(zip(c[cc].tolist(), r[rr].tolist()))
+
+
+def mean_cap_rate(yields: DataFrame) -> DataFrame:
+    """One row: the mean capitalisation rate of (yield) in percent."""
+    return yields.agg((100 * F.avg("yield")).alias("mean_cap_rate_pct"))
+
+
 # ground
 
 

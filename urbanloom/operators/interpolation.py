@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from urbanloom.core.spatial_join import nearest, range_join
 from urbanloom.core.tables import stored
+from urbanloom.session import ship
 
 #: Share of a target's weights that sources out of reach may have together.
 PRECISION = 1e-16
@@ -143,6 +144,7 @@ def kriging(sources: DataFrame, targets: DataFrame, model: str = "spherical", nu
             value, var = solve(b[["sx", "sy"]].to_numpy(float), b["v"].to_numpy(float), b[["x", "y"]].to_numpy(float)[:1])
             return pd.DataFrame({"id": [b["i"].iloc[0]], "value": value, "variance": var})
 
+        ship(near.sparkSession)
         out = near.groupBy("i").applyInPandas(one, schema)
     clean = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return out.select("id", clean("value"), clean("variance"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from urbanloom.core.exprs import finite
 from urbanloom.core.ordered import quantiles, running
+from urbanloom.core.tables import stored
+from urbanloom.session import ship
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -140,3 +142,37 @@ def pareto_front(df: DataFrame, a: str, b: str, maximize_a: bool = True, maximiz
     best = running(best, [F.col("_x").desc()], {"_above": ("max", F.col("_top"))}, inclusive=False).withColumnRenamed("_x", "_bx")
     on = (F.col("_y") == F.col("_top")) & (F.col("_above").isNull() | (F.col("_y") > F.col("_above")))
     return rows.join(best, F.col("_x") == F.col("_bx"), "left").withColumn("on_front", F.coalesce(on, F.lit(False))).drop("_x", "_y", "_bx", "_top", "_above")
+
+
+def _skyline(values: np.ndarray) -> np.ndarray:
+    """Which rows no other row of the block is as good as in everything and better than in something."""
+    order = np.argsort(-values.sum(axis=1), kind="stable")
+    kept: list[int] = []
+    for i in order:  # whoever beats a row has a larger sum
+        best = values[kept]
+        if not len(kept) or not ((best >= values[i]).all(axis=1) & (best > values[i]).any(axis=1)).any():
+            kept.append(int(i))
+    return np.array(sorted(kept), int)
+
+
+def pareto_front_of(df: DataFrame, columns: list[str], maximize: list[bool] | bool = True) -> DataFrame:
+    """Adds ``on_front`` for any number of objectives; rows with a missing value are never on it, equal rows are alike.
+
+    Parts of the rows keep their own fronts, which are joined by eights, so the last task holds a front and not the rows.
+    """
+    flags = [maximize] * len(columns) if isinstance(maximize, bool) else list(maximize)
+    if not columns or len(flags) != len(columns):
+        raise ValueError("one flag for each of one objective or more")
+    ship(df.sparkSession)
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    oriented = [(finite(c) if up else -finite(c)).alias(f"o{k}") for k, (c, up) in enumerate(zip(columns, flags))]
+    names = [f"o{k}" for k in range(len(columns))]
+    now = rows.select("_row", *oriented).na.drop()
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    schema = "_row long, " + ", ".join(f"{n} double" for n in names)
+    while True:
+        now = now.groupBy(F.pmod(F.xxhash64("_row"), F.lit(parts)).alias("_part")).applyInPandas(lambda pdf: pdf.iloc[_skyline(pdf[names].to_numpy(float))][["_row", *names]], schema)
+        if parts == 1:
+            break
+        parts = max(1, parts // 8)
+    return rows.join(now.select("_row", F.lit(True).alias("_on")), "_row", "left").withColumn("on_front", F.coalesce("_on", F.lit(False))).drop("_row", "_on")

@@ -67,6 +67,18 @@ query("daily_radiation", lambda p: H.daily_radiation(p.selectExpr("id", "u * 120
 WITH a AS (SELECT id, radians(u * 120 - 60) AS la, radians(23.45 * sin(radians(360 / 365 * (id % 365 - 80)))) AS d, 1 + 0.033 * cos(radians(360 * (1 + id % 365) / 365)) AS dr FROM {{plots}}), w AS (SELECT *, acos(greatest(-1, least(1, -tan(la) * tan(d)))) AS ws FROM a)
 SELECT id, {R('1367 * dr * 0.65')} AS peak, {R('24 * 60 / pi() * 1367 * dr * (ws * sin(la) * sin(d) + cos(la) * cos(d) * sin(ws)) * 0.65 / 3600000')} AS kwh, {R('degrees(d)')} AS declination, {R('degrees(2 * ws / 15)')} AS daylight FROM w""")
 
+query("fire_front", lambda p: H.fire_front(p.where("id < 200").selectExpr("id", "u * 60 AS wind", "0.5D + w * 5 AS hours"), p.selectExpr("id % 200 AS id", "v * 45 AS slope")), P, sql=f"""
+WITH s AS (SELECT id % 200 AS id, max(v * 45) AS s FROM {{plots}} GROUP BY 1), r AS (SELECT p.id, (0.5 + 6 * u) * (1 + 0.05 * tan(radians(s.s))) * (1 + 1.2 * u) AS r, 0.5 + w * 5 AS h FROM {{plots}} p JOIN s USING (id) WHERE p.id < 200)
+SELECT id, {R('r')} AS rate, {R('r * 60 * h')} AS forward, {R('r * 24 * h')} AS flank, {R('r * 90 * h')} AS buffer, {R('r * 33 * h')} AS semi_major, {R('r * 24 * h')} AS semi_minor FROM r""")
+query("mean_cap_rate", lambda p: H.mean_cap_rate(p.selectExpr("u / 10 AS yield")), P, sql=f"SELECT {R('avg(u) * 10')} AS mean_cap_rate_pct FROM {{plots}}")
+blocks = lambda p: p.where("id % 4 = 0").selectExpr("id", "3 + s AS height", "array(struct(u * 400 AS x, v * 400 AS y), struct(u * 400 + 4 + s / 5 AS x, v * 400 AS y), struct(u * 400 + 4 + s / 5 AS x, v * 400 + 6 + q * 10 AS y), struct(u * 400 AS x, v * 400 + 6 + q * 10 AS y)) AS coords")
+# a cell is in the shade of a box if the box, moved along the beam, comes over it: the moves that do so for x and y overlap
+SHADE = """k AS (SELECT 1 / tan(radians(35)) AS l, -sin(radians(140)) AS sx, -cos(radians(140)) AS sy), b AS (SELECT id, u * 400 AS x0, u * 400 + 4 + s / 5 AS x1, v * 400 AS y0, v * 400 + 6 + q * 10 AS y1, 3 + s AS h, (3 + s) * l * sx AS dx, (3 + s) * l * sy AS dy FROM {plots}, k WHERE id % 4 = 0),
+e AS (SELECT min(least(x0, x0 + dx)) - 4 AS x, min(least(y0, y0 + dy)) - 4 AS y, max(greatest(x1, x1 + dx)) AS xx, max(greatest(y1, y1 + dy)) AS yy FROM b), g AS (SELECT c, r, x + (c + 0.5) * 4 AS px, y + (r + 0.5) * 4 AS py FROM e, (SELECT unnest(range(200)) AS c), (SELECT unnest(range(200)) AS r) WHERE x + c * 4 <= xx AND y + r * 4 <= yy),
+m AS (SELECT id, c, r, px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1 AS own FROM b JOIN g ON px BETWEEN least(x0, x0 + dx) AND greatest(x1, x1 + dx) AND py BETWEEN least(y0, y0 + dy) AND greatest(y1, y1 + dy) WHERE greatest(0, least((px - x1) / dx, (px - x0) / dx), least((py - y1) / dy, (py - y0) / dy)) <= least(1, greatest((px - x1) / dx, (px - x0) / dx), greatest((py - y1) / dy, (py - y0) / dy))), n AS (SELECT c, r, count(*) AS n FROM m GROUP BY c, r)"""
+query("shadow_access", lambda p: H.shadow_access(blocks(p), 35.0, 140.0, 4.0)[0], P, sql=f"WITH {SHADE}, a AS (SELECT id, 100 * avg((n < 2)::INT) AS a FROM m JOIN n USING (c, r) WHERE own GROUP BY id) SELECT id, {R('h * (SELECT l FROM k)')} AS shadow, {R('coalesce(a, 100)')} AS access FROM b LEFT JOIN a USING (id)")
+query("shadow_area", lambda p: H.shadow_access(blocks(p), 35.0, 140.0, 4.0)[1], P, sql=f"WITH {SHADE} SELECT {R('(SELECT count(*) FROM n) * 16.0')} AS shadow_area, {R('sum((x1 - x0) * (y1 - y0))')} AS footprint_area FROM b")
+
 # ground
 built = lambda p: p.selectExpr("id", "price AS area", "1 + id % 9 AS floors", "1970 + id % 55 AS year")
 _base = "CASE WHEN 1970 + id % 55 <= 1985 THEN 0.85 WHEN 1970 + id % 55 <= 2000 THEN 0.6 WHEN 1970 + id % 55 <= 2018 THEN 0.25 ELSE 0.05 END"

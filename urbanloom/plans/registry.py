@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urbanloom.session import ship
 from urbanloom.sources.derived import oracle, relation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +18,7 @@ def query(name: str, build: Callable, *relations: str, sql: str | None = None) -
     """``build`` gets the named relations as DataFrames. Doubles of the result are rounded to six places."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)  # some columns and groups run Python on the executors
         return rounded(build(*(relation(spark, sf_dir, r) for r in relations)))
 
     QUERIES[name] = run

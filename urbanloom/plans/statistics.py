@@ -27,6 +27,8 @@ query("rank_values", lambda v: quality.rank_values(v.select("id", "x"), "x"), "v
 query("bootstrap_mean_ci", lambda v: quality.bootstrap_mean_ci(v, "x", n_boot=500), "values")
 query("zscore", lambda v: quality.zscore(v.select("id", "x"), "x"), "values", sql=f"SELECT id, {R('x')} AS x, {R('(x - avg(x) OVER ()) / stddev_pop(x) OVER ()')} AS z FROM {{values}}")
 query("top_k", lambda v: quality.top_k(v.select("id", "x"), "x", 25), "values", sql=f"SELECT id, {R('x')} AS x FROM {{values}} ORDER BY x DESC, id LIMIT 25")
+query("pareto_front_of", lambda v: quality.pareto_front_of(v.select("id", "c1", "c2", "c3", "c4"), ["c1", "c2", "c3", "c4"], [True, False, True, False]).select("id", "on_front"), "alternatives", sql="""
+WITH a AS MATERIALIZED (SELECT * FROM {alternatives}) SELECT id, NOT EXISTS (SELECT 1 FROM a o WHERE o.c1 >= a.c1 AND o.c2 <= a.c2 AND o.c3 >= a.c3 AND o.c4 <= a.c4 AND (o.c1 > a.c1 OR o.c2 < a.c2 OR o.c3 > a.c3 OR o.c4 < a.c4)) AS on_front FROM a""")
 query("pareto_front", lambda v: quality.pareto_front(v.select("id", "c1", "c2"), "c1", "c2", True, False), "alternatives", sql=f"""
 WITH a AS ({{alternatives}}) SELECT id, {R('c1')} AS c1, {R('c2')} AS c2, NOT EXISTS (SELECT 1 FROM a o WHERE o.c1 >= a.c1 AND o.c2 <= a.c2 AND (o.c1 > a.c1 OR o.c2 < a.c2)) AS on_front FROM a""".replace("({alternatives})", "(SELECT * FROM {alternatives})"))
 
