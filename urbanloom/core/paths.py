@@ -1,6 +1,7 @@
 """Networks small enough to be sent whole to every task: paths from many sources at once, one source after another.
 
-``network`` returns None beyond ARCS arcs; callers then go by rounds of joins (``core.graph``), which have no bound.
+``network`` returns None beyond ARCS arcs; callers then go by regions of whole components (``core.regions``) or by rounds of
+joins (``core.graph``), which have no bound.
 """
 
 from __future__ import annotations
@@ -170,9 +171,11 @@ def dependencies(arcs: list[list[tuple]], source: int, radius: float | None = No
 
 
 def each(rows: DataFrame, net: Network, kernel: Callable[[Network, pd.DataFrame], Iterator[dict] | dict], schema: str) -> DataFrame:
-    """``kernel`` over batches of ``rows`` with the network at hand; rows are dealt out evenly."""
+    """``kernel`` over batches of ``rows`` with the network (or ``core.regions.Regions``) at hand; rows are dealt out evenly."""
     spark = rows.sparkSession
     ship(spark)
+    if not isinstance(net, Network):
+        return net.each(rows, kernel, schema)
     sent = spark.sparkContext.broadcast(net)
     names = [x.strip().split()[0] for x in schema.split(",")]
 

@@ -1,7 +1,8 @@
 """Paths and what runs over them: trees, betweenness, removal of edges, evacuation, choice of route.
 
-These follow single paths, so the network goes whole to each task behind ``paths.ARCS``, and tasks take origins, removed
-edges or requests. Beyond that size ``NetworkTooLarge`` says so; costs alone have no such bound (``core.graph``).
+These follow single paths, so a network of up to ``paths.ARCS`` arcs goes whole to each task, and tasks take origins, removed
+edges or requests. Larger ones are cut into regions of whole components (``core.regions``). A component beyond that size, or a
+large network for the methods that follow it on the driver, is ``NetworkTooLarge``; costs alone have no bound (``core.graph``).
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanloom.core.paths import Network, dependencies, dijkstra, each, network, pruned
+from urbanloom.core.paths import ARCS, Network, dependencies, dijkstra, each, network, pruned
+from urbanloom.core.regions import Regions, regions
 from urbanloom.core.tables import stored
 
 
@@ -21,13 +23,21 @@ class NetworkTooLarge(ValueError):
     """The network has more arcs than a task is given."""
 
 
-def _net(edges: DataFrame, values: tuple[str, ...] = ("cost",), directed: bool = False, nodes: DataFrame | None = None) -> Network:
-    net = network(edges, values, directed, nodes)
+def _net(edges: DataFrame, values: tuple[str, ...] = ("cost",), directed: bool = False, nodes: DataFrame | None = None, whole: bool = False, limit: int | None = None) -> Network | Regions:
+    limit = limit or ARCS
+    net = network(edges, values, directed, nodes, limit)
+    if net is None and not whole:
+        net = regions(edges, values, directed, limit)
     if net is None:
-        raise NetworkTooLarge("paths need the whole network in each task: cut it into regions first")
+        raise NetworkTooLarge(f"paths need a {'network' if whole else 'component'} of at most {limit} arcs in each task")
     return net
 
 
+def _with_goals(own: DataFrame, goals: DataFrame) -> DataFrame:
+    """Origins and, flagged, the destinations that their regions need."""
+    return own.withColumn("goal", F.lit(False)).unionByName(goals.withColumn("goal", F.lit(True)), allowMissingColumns=True)
+
+
 def _ids(df: DataFrame, name: str = "node") -> DataFrame:
     return df.select(F.col(df.columns[0]).cast("long").alias(name)).na.drop().distinct()
 
@@ -47,6 +57,8 @@ def path_tree(edges: DataFrame, sources: DataFrame, cutoff: float | None = None,
         return each(_ids(sources), net, lambda net, pdf: [r for s in net.index(pdf["node"]).tolist() for r in rows(net, [(0.0, s, s)])], schema)
     offset = F.col("offset").cast("double") if "offset" in sources.columns else F.lit(0.0)
     own = sources.select(F.col("node").cast("long").alias("node"), offset.alias("offset")).na.drop().groupBy("node").agg(F.min("offset").alias("offset"))
+    if isinstance(net, Regions):
+        return net.each(own, lambda net, pdf: rows(net, [(d, s, s) for s, d in zip(net.index(pdf["node"]).tolist(), pdf["offset"])]), schema, together=True)
     own = own.groupBy(F.lit(1)).agg(F.collect_list(F.struct("node", "offset")).alias("s")).select("s.node", "s.offset")
     return each(own, net, lambda net, pdf: [r for n, o in zip(pdf["node"], pdf["offset"]) for r in rows(net, [(d, s, s) for s, d in zip(net.index(n).tolist(), o)])], schema)
 
@@ -145,10 +157,10 @@ def choice(edges: DataFrame, nodes: DataFrame, origins: DataFrame, destinations:
     if method not in ("none", "exponential", "power", "linear") or method == "linear" and cutoff <= 0:
         raise ValueError(f"no decay {method!r} with cutoff {cutoff}")
     net = _net(edges, nodes=nodes.select("node"))
-    goals = {r[0]: r[1] for r in destinations.groupBy(F.col("node").cast("long")).agg(F.max(F.col("w").cast("double"))).limit(len(net.nodes) + 1).collect()}
+    ends = destinations.groupBy(F.col("node").cast("long").alias("node")).agg(F.max(F.col("w").cast("double")).alias("w"))
     decay = {"none": lambda d: 1.0, "exponential": lambda d: math.exp(-beta * d), "power": lambda d: max(d, 1e-9) ** -beta, "linear": lambda d: max(0.0, 1 - d / cutoff)}[method]
 
-    def run(net, pdf):
+    def run(net, pdf, goals):
         total: dict[int, float] = {}
         worth = lambda v, d: goals.get(int(net.nodes[v]), 0.0) * decay(d)
         for s, w in zip(net.index(pdf["node"]).tolist(), pdf["w"]):
@@ -157,7 +169,14 @@ def choice(edges: DataFrame, nodes: DataFrame, origins: DataFrame, destinations:
         return [(int(net.nodes[v]), x) for v, x in total.items()]
 
     own = origins.select(F.col("node").cast("long").alias("node"), F.col("w").cast("double").alias("w")).na.drop()
-    s = each(own, net, run, "node long, x double").groupBy("node").agg(F.sum("x").alias("choice"))
+    schema = "node long, x double"
+    if isinstance(net, Regions):
+        split = lambda net, pdf: run(net, pdf[~pdf["goal"]], dict(zip(pdf["node"][pdf["goal"]], pdf["w"][pdf["goal"]])))
+        out = net.each(_with_goals(own, ends.na.drop()), split, schema, everywhere="goal")
+    else:
+        goals = {r[0]: r[1] for r in ends.limit(len(net.nodes) + 1).collect()}
+        out = each(own, net, lambda net, pdf: run(net, pdf, goals), schema)
+    s = out.groupBy("node").agg(F.sum("x").alias("choice"))
     return nodes.select("node").join(s, "node", "left").na.fill(0.0, ["choice"])
 
 
@@ -207,9 +226,8 @@ def nearest_usage(edges: DataFrame, origins: DataFrame, destinations: DataFrame)
     """(src, dst, usage, criticality): how many origins' ways to their nearest destination go from src to dst, and in percent
     of the most used."""
     net = _net(edges, nodes=origins.select("node"))
-    goals = {r[0] for r in _ids(destinations).limit(len(net.nodes) + 1).collect()}
 
-    def run(net, pdf):
+    def run(net, pdf, goals):
         stop = {i for i in net.index(sorted(goals)).tolist() if i >= 0}
         used: dict[tuple[int, int], int] = {}
         for s in net.index(pdf["node"]).tolist():
@@ -224,7 +242,13 @@ def nearest_usage(edges: DataFrame, origins: DataFrame, destinations: DataFrame)
         return [(int(net.nodes[a]), int(net.nodes[b]), n) for (a, b), n in used.items()]
 
     own = origins.select(F.col("node").cast("long").alias("node")).na.drop()
-    s = each(own, net, run, "src long, dst long, n long").groupBy("src", "dst").agg(F.sum("n").alias("usage"))
+    schema = "src long, dst long, n long"
+    if isinstance(net, Regions):
+        out = net.each(_with_goals(own, _ids(destinations)), lambda net, pdf: run(net, pdf[~pdf["goal"]], set(pdf["node"][pdf["goal"]].tolist())), schema, everywhere="goal")
+    else:
+        goals = {r[0] for r in _ids(destinations).limit(len(net.nodes) + 1).collect()}
+        out = each(own, net, lambda net, pdf: run(net, pdf, goals), schema)
+    s = out.groupBy("src", "dst").agg(F.sum("n").alias("usage"))
     s = stored(s, "usage")
     return s.crossJoin(F.broadcast(s.agg(F.max("usage").alias("_m")))).select("src", "dst", "usage", (100 * F.col("usage") / F.col("_m")).alias("criticality"))
 
@@ -242,7 +266,7 @@ def edge_criticality(edges: DataFrame, origins: DataFrame, destinations: DataFra
     """(edge, criticality, extra, disconnected, used_by): what leaving each edge out adds to the summed costs between
     origins and destinations (node), over that sum; pairs that it cuts; arcs of the edge. ``same`` leaves out pairs of
     equal places in both lists. Tasks take edges to leave out."""
-    net = _net(edges, directed=directed, nodes=origins.select("node").unionByName(destinations.select("node")))
+    net = _net(edges, directed=directed, nodes=origins.select("node").unionByName(destinations.select("node")), whole=True)
     o, d = (net.index([r[0] for r in _ids(x).orderBy("node").limit(len(net.nodes) + 1).collect()]).tolist() for x in (origins, destinations))
     base = _totals(net, o, d, same)
     total = sum(base.values())
@@ -263,7 +287,7 @@ def edge_criticality(edges: DataFrame, origins: DataFrame, destinations: DataFra
 def efficiency_loss(edges: DataFrame, nodes: DataFrame, of: str = "edge") -> DataFrame:
     """(key, loss): the share of the summed inverse distances between all nodes that goes with an edge (both directions) or
     with all arcs of a node. Tasks take what to leave out."""
-    net = _net(edges, nodes=nodes.select("node"))
+    net = _net(edges, nodes=nodes.select("node"), whole=True)
 
     def efficiency(net):
         arcs = net.arcs("cost")
@@ -338,9 +362,8 @@ def evacuation(edges: DataFrame, demand: DataFrame, depots: DataFrame, speed: fl
     """(src, dst, flow, capacity, ratio, bottleneck) and one row (clearance, unassigned): each origin's people (node, pop) go by
     the way to their nearest depot over directed edges (src, dst, cost, capacity)."""
     net = _net(edges, directed=True, nodes=demand.select("node"))
-    goals = {r[0] for r in _ids(depots).limit(len(net.nodes) + 1).collect()}
 
-    def run(net, pdf):
+    def run(net, pdf, goals):
         stop = {i for i in net.index(sorted(goals)).tolist() if i >= 0}
         out = []
         for s, pop in zip(net.index(pdf["node"]).tolist(), pdf["pop"]):
@@ -357,7 +380,13 @@ def evacuation(edges: DataFrame, demand: DataFrame, depots: DataFrame, speed: fl
         return out
 
     own = demand.select(F.col("node").cast("long").alias("node"), F.col("pop").cast("double").alias("pop")).where("pop > 0").join(_ids(depots), "node", "left_anti")
-    moves = stored(each(own, net, run, "src long, dst long, pop double, dist double"), "moves")
+    schema = "src long, dst long, pop double, dist double"
+    if isinstance(net, Regions):
+        out = net.each(_with_goals(own, _ids(depots)), lambda net, pdf: run(net, pdf[~pdf["goal"]], set(pdf["node"][pdf["goal"]].tolist())), schema, everywhere="goal")
+    else:
+        goals = {r[0] for r in _ids(depots).limit(len(net.nodes) + 1).collect()}
+        out = each(own, net, lambda net, pdf: run(net, pdf, goals), schema)
+    moves = stored(out, "moves")
     flows = moves.where("src >= 0").groupBy("src", "dst").agg(F.sum("pop").alias("flow"))
     cap = edges.groupBy("src", "dst").agg(F.max("capacity").cast("double").alias("capacity"))
     out = stored(flows.join(cap, ["src", "dst"], "left").select("src", "dst", "flow", "capacity", F.when(F.col("capacity") > 0, F.col("flow") / F.col("capacity")).otherwise(F.lit(0.0)).alias("ratio"), ((F.col("capacity") > 0) & (F.col("flow") > F.col("capacity"))).alias("bottleneck")), "flows")
@@ -374,7 +403,7 @@ def evacuation_steps(edges: DataFrame, nodes: DataFrame, steps: int = 24) -> tup
     The state of a step depends on the step before, so one task runs all of them, on a network within ``paths.ARCS``.
     """
     spark = edges.sparkSession
-    net = _net(edges, ("cost", "capacity"), True, nodes.select("node"))
+    net = _net(edges, ("cost", "capacity"), True, nodes.select("node"), whole=True)
     if nodes.count() > len(net.nodes):
         raise ValueError("each node once")
     pdf = nodes.select(F.col("node").cast("long"), F.col("demand").cast("double"), F.col("capacity").cast("double")).toPandas()
@@ -421,7 +450,7 @@ def clearance_order(edges: DataFrame, blocked: DataFrame, depot: int, cost_facto
     Unreachable ones count as 1e6 away. The order is sequential, so the driver follows it on a network within ``paths.ARCS``.
     """
     spark = edges.sparkSession
-    net = _net(edges)
+    net = _net(edges, whole=True)
     rows = blocked.select("edge", "volume", "criticality").orderBy("edge").limit(len(net.edge) + 1).collect()
     gone = {int(r["edge"]) for r in rows}
     ends = {}
