@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanloom.core.ordered import numbered
-from urbanloom.core.spatial_join import nearest, range_join
+from urbanloom.core.spatial_join import by_place, nearest, range_join
 from urbanloom.core.tables import stored
 from urbanloom.functions.geometry import hull, ring_area
 from urbanloom.operators.services import gini_of
@@ -82,9 +82,10 @@ def flash_flood(cells: DataFrame, rain: float, pipes: float = 25.0) -> tuple[Dat
 def tsunami_shelter(people: DataFrame, coast: DataFrame, refuges: DataFrame, wave: float = 10.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, refuge, depth), (refuge, assigned, deficit) and one row (saved, rate): people (id, x, y, pop) to the nearest refuge (id, x, y, capacity);
     the wave falls with the distance to the coast (id, x, y)."""
-    shore = nearest(people, coast, 1).select(F.col("i").alias("id"), (F.lit(wave) * F.exp(-F.col("d") / 1000)).alias("depth"))
-    to = nearest(people, refuges, 1).select(F.col("i").alias("id"), F.col("j").alias("refuge"))
-    rows = stored(to.join(shore, "id").join(people.select("id", "pop"), "id"), "people")
+    places, of = by_place(people)
+    shore = nearest(places, by_place(coast)[0], 1).select(F.col("i").alias("place"), (F.lit(wave) * F.exp(-F.col("d") / 1000)).alias("depth"))
+    to = nearest(places, by_place(refuges)[0], 1).select(F.col("i").alias("place"), F.col("j").alias("refuge"))
+    rows = stored(of.join(to.join(shore, "place"), "place").select("id", "refuge", "depth").join(people.select("id", "pop"), "id"), "people")
     load = refuges.select(F.col("id").alias("refuge"), "capacity").join(rows.groupBy("refuge").agg(F.sum("pop").alias("assigned")), "refuge", "left").na.fill(0.0, ["assigned"])
     load = stored(load.select("refuge", "assigned", F.greatest(F.col("assigned") - F.col("capacity"), F.lit(0.0)).alias("deficit")), "load")
     t = people.agg(F.sum("pop").alias("p")).crossJoin(load.agg(F.sum("deficit").alias("d")))
