@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanloom.core.ordered import quantiles, running
-from urbanloom.core.spatial_join import nearest, range_join
+from urbanloom.core.spatial_join import by_place, nearest, range_join
 from urbanloom.core.tables import stored
 from urbanloom.operators.access import spatial_equity_gini
 
@@ -45,11 +45,14 @@ def health_equity(demand: DataFrame, facilities: DataFrame, groups: dict[str, fl
     total = sum((F.col(g) for g in groups), F.lit(0.0))
     need = sum((F.col(g) * float(w) for g, w in groups.items()), F.lit(0.0))
     people = stored(demand.select("id", "x", "y", *groups, total.alias("pop"), need.alias("need")), "demand")
-    near = range_join(people.select(F.col("id").alias("o"), "x", "y", "pop"), facilities.select(F.col("id").alias("f"), "x", "y", "capacity"), catchment, ["o", "pop"], ["f", "capacity"])
+    # the facilities of a place have the same people in reach, so they share its sum
+    (places, of), (at, _) = by_place(people, "pop"), by_place(facilities, "capacity")
+    near = range_join(places.select(F.col("id").alias("o"), "x", "y", "pop"), at.select(F.col("id").alias("f"), "x", "y", "capacity"), catchment, ["o", "pop"], ["f", "capacity"])
     w = F.when(F.col("d") <= 0.33 * catchment, 1.0).when(F.col("d") <= 0.66 * catchment, 0.6).otherwise(0.2)
     near = stored(near.withColumn("w", w), "near")
     ratio = near.groupBy("f").agg((F.max("capacity") / F.when(F.sum(F.col("w") * F.col("pop")) > 0, F.sum(F.col("w") * F.col("pop")))).alias("ratio"))
     a = near.join(ratio, "f").groupBy("o").agg(F.sum(F.col("w") * F.coalesce("ratio", F.lit(0.0))).alias("access"))
+    a = of.join(a, F.col("place") == F.col("o")).select(F.col("id").alias("o"), "access")
     rows = stored(people.join(a, F.col("id") == F.col("o"), "left").withColumn("access", F.coalesce("access", F.lit(0.0))), "access")
     g = spatial_equity_gini(rows.select(F.col("id").alias("o"), "access"), rows.select(F.col("id").alias("o"), "pop"))
     mean = lambda c: F.try_divide(F.sum(F.col("access") * F.col(c)), F.sum(c))
