@@ -66,7 +66,7 @@ sites = lambda p: places(p, 5000).where("id % 50 = 3")
 asked = lambda p: p.selectExpr("id AS demand", "s AS w")
 within = lambda p, r: siting.costs_between(sites(p), places(p, 5000), r)
 COSTS = lambda r: f"p AS ({at(5000, 's AS w')}), c AS MATERIALIZED (SELECT f.id AS site, p.id AS demand, p.w, {D('p', 'f')} AS cost FROM p, (SELECT * FROM p WHERE id % 50 = 3) f WHERE {D('p', 'f')} <= {r})"
-query("coverage_weights", lambda p: siting.coverage_weights(within(p, 800.0), asked(p), 600.0), P, sql=f"WITH {COSTS(800)} SELECT site, {R('sum(w)')} AS weight FROM c WHERE cost <= 600 GROUP BY site")
+query("coverage_weights", lambda p: siting.coverage_of(sites(p), places(p, 5000, "s AS w"), 600.0), P, sql=f"WITH {COSTS(800)} SELECT site, {R('sum(w)')} AS weight FROM c WHERE cost <= 600 GROUP BY site")
 
 
 def cover(f: str, k: int, start: str = "false") -> str:
@@ -83,7 +83,7 @@ def steps(k: int) -> str:
     return " UNION ALL ".join(f"SELECT {i + 1} AS step, site, {R('added')} AS added, {R(f'(SELECT sum(b * s) FROM b{i + 1} JOIN {{plots}} ON id = demand)')} AS covered FROM t{i + 1}" for i in range(k))
 
 
-query("decayed_cover", lambda p: siting.decayed_cover(within(p, 800.0), asked(p), 4, 800.0), P, sql=f"WITH {COSTS(800)}, {cover('exp(-0.002 * cost)', 4)} {steps(4)}")
+query("decayed_cover", lambda p: siting.decayed_cover_of(sites(p), places(p, 5000, "s AS w"), 4, 800.0), P, sql=f"WITH {COSTS(800)}, {cover('exp(-0.002 * cost)', 4)} {steps(4)}")
 query("max_coverage", lambda p: siting.decayed_cover(within(p, 800.0), asked(p), 3, 800.0, "none", fixed=sites(p).where("id % 100 = 3 and id < 500").selectExpr("id AS site")), P, sql=f"WITH {COSTS(800)}, {cover('1', 3, '(site % 100 = 3 AND site < 500)')} {steps(3)}")
 near = lambda a, f: a.selectExpr("id AS demand", "x", "y").crossJoin(f.selectExpr("id AS site", "x AS fx", "y AS fy")).selectExpr("demand", "site", "sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy)) + site / 100 AS cost")
 NEAR = "c AS (SELECT a.id AS demand, f.id AS site, pop, sqrt(pow(a.x - f.x, 2) + pow(a.y - f.y, 2)) + f.id / 100 AS cost FROM {areas} a, {facilities} f)"
