@@ -1,18 +1,18 @@
 """Rankings by pairs of alternatives: PROMETHEE with thresholds, ELECTRE I and III, and the spread of ranks under noise.
 
 PROMETHEE's flows need no pairs: for each criterion they follow from counts and sums below two points of the order.
-ELECTRE compares all pairs by definition, so it takes at most PAIRED alternatives and says so beyond.
+ELECTRE compares all pairs by definition: III in blocks, whatever their number; I takes at most PAIRED alternatives and says
+so beyond.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.core.blocks import blocks, over_pairs
 from urbanloom.core.ordered import running
 from urbanloom.core.tables import stored
 from urbanloom.operators.mcda import _shares, _total, ranked
@@ -94,16 +94,34 @@ def electre_i(df: DataFrame, cols: list[str], weights: list[float], benefit: lis
 
 def electre_iii(df: DataFrame, cols: list[str], weights: list[float], benefit: list[bool], q: list[float], p: list[float], v: list[float]) -> DataFrame:
     """Credibility of outranking with indifference, preference and veto thresholds; the score is what an alternative
-    has over all others less what they have over it."""
-    pairs, _ = _paired(df, cols, benefit)
-    short = [-F.col(f"d{j}") for j in range(len(cols))]
-    c = [F.when(s <= q[j], 1.0).when(s >= p[j], 0.0).otherwise((p[j] - s) / max(1e-9, p[j] - q[j])) for j, s in enumerate(short)]
-    d = [F.when(s <= p[j], 0.0).when(s >= v[j], 1.0).otherwise((s - p[j]) / max(1e-9, v[j] - p[j])) for j, s in enumerate(short)]
-    rows = pairs.select("i", "k", _total([F.lit(w) * x for w, x in zip(_shares(weights), c)]).alias("c"), *(x.alias(f"d{j}") for j, x in enumerate(d)))
-    cut = lambda j: F.when(F.col(f"d{j}") > F.col("c"), (1 - F.col(f"d{j}")) / F.greatest(1 - F.col("c"), F.lit(1e-9))).otherwise(F.lit(1.0))
-    credit = stored(rows.select("i", "k", reduce(lambda x, y: x * y, [cut(j) for j in range(len(cols))], F.col("c")).alias("s")), "credibility")
-    out = credit.groupBy(F.col("i").alias("id")).agg(F.sum("s").alias("_r")).join(credit.groupBy(F.col("k").alias("id")).agg(F.sum("s").alias("_c")), "id", "full_outer")
-    return ranked(df.select("id").join(out, "id", "left").na.fill(0.0, ["_r", "_c"]), F.col("_r") - F.col("_c"))
+    has over all others less what they have over it.
+
+    Alternatives that are alike in all criteria are one with their number, so they tie; all pairs of these are weighed in blocks.
+    """
+    kind, w, names = df.schema["id"].dataType.simpleString(), _shares(weights), [f"_c{j}" for j in range(len(cols))]
+    own = stored(df.select("id", *((F.col(c).cast("double") if g else -F.col(c).cast("double")).alias(n) for c, g, n in zip(cols, benefit, names))).na.drop(subset=["id"]).where(" AND ".join(f"{n} IS NOT NULL" for n in names)), "criteria")
+    alike = stored(own.groupBy(*names).agg(F.min("id").alias("_k"), F.count("*").cast("double").alias("_n")), "alike")
+
+    def weigh(a: dict, b: dict) -> pd.DataFrame:
+        c, veto = np.zeros((len(a["_k"]), len(b["_k"]))), []
+        for j, name in enumerate(names):
+            short = b[name][None, :] - a[name][:, None]
+            none = np.isnan(short)
+            c += w[j] * np.where(short <= q[j], 1.0, np.where((short >= p[j]) | none, 0.0, (p[j] - short) / max(1e-9, p[j] - q[j])))
+            veto.append(np.where(short <= p[j], 0.0, np.where((short >= v[j]) | none, 1.0, (short - p[j]) / max(1e-9, v[j] - p[j]))))
+        credit, rest = c.copy(), np.maximum(1 - c, 1e-9)
+        for d in veto:
+            credit *= np.where(d > c, (1 - d) / rest, 1.0)
+        # an alternative and those like it have as much over each other
+        credit[a["_k"][:, None] == b["_k"][None, :]] = 0.0
+        over, under = (credit * b["_n"]).sum(axis=1), (credit * a["_n"][:, None]).sum(axis=0)
+        return pd.DataFrame({"_k": np.concatenate([a["_k"], b["_k"]]), "_s": np.concatenate([over, -under])})
+
+    cut = blocks(alike, "_k")
+    # added up in a fixed order
+    sums = over_pairs(cut, cut, weigh, f"_k {kind}, _s double").groupBy("_k").agg(F.aggregate(F.sort_array(F.collect_list("_s")), F.lit(0.0), lambda x, y: x + y).alias("_s"))
+    found = own.join(alike.join(sums, "_k"), names).select("id", "_s")
+    return ranked(df.select("id").join(found, "id", "left").na.fill(0.0, ["_s"]), F.col("_s"))
 
 
 def rank_spread(df: DataFrame, cols: list[str], weights: list[float], benefit: list[bool], noise: float = 0.1, simulations: int = 1000, seed: int = 42) -> DataFrame:
