@@ -6,11 +6,14 @@ aggregate over them and one row to the driver.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.core.blocks import blocks, over_pairs
 from urbanloom.core.ordered import numbered
-from urbanloom.core.spatial_join import nearest, range_join
+from urbanloom.core.spatial_join import by_place, nearest, range_join
 from urbanloom.core.tables import stored
 
 
@@ -43,24 +46,33 @@ def greedy_lscp(candidates: DataFrame, demand: DataFrame, radius: float, share:
 def greedy_p_median(candidates: DataFrame, demand: DataFrame, p: int) -> DataFrame:
     """(step, id, cost): p candidates, each time that which lowers the weighted distance most; ties by id.
 
-    All pairs take part by definition, so candidates are the small side; they are broadcast only behind a count.
+    All pairs take part by definition; they are weighed in blocks, demand of one place together. Rows without a place are left out.
     """
-    if candidates.count() > 20_000:
-        raise ValueError("more than 20,000 candidates: choose them by coverage first")
-    d = demand.select(F.col("id").alias("i"), "pop", F.col("x").alias("dx"), F.col("y").alias("dy"))
-    c = candidates.select(F.col("id").alias("f"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-    dist = F.sqrt((F.col("dx") - F.col("cx")) * (F.col("dx") - F.col("cx")) + (F.col("dy") - F.col("cy")) * (F.col("dy") - F.col("cy")))
-    best = d.withColumn("m", F.lit(None).cast("double"))
-    rows = []
+    kind = candidates.schema["id"].dataType.simpleString()
+    have = lambda df: df.na.drop(subset=["x", "y"])
+    asked, _ = by_place(have(demand).selectExpr("id", "CAST(x AS DOUBLE) AS x", "CAST(y AS DOUBLE) AS y", "CAST(pop AS DOUBLE) AS pop"), "pop")
+    c = blocks(have(candidates).selectExpr("id", "CAST(x AS DOUBLE) AS x", "CAST(y AS DOUBLE) AS y"), "id")
+    d = blocks(asked.na.fill(0.0, ["pop"]), "id")
+    rows: list[tuple] = []
+
+    def weigh(a: dict, b: dict) -> pd.DataFrame:
+        away = lambda x, y: np.sqrt((b["x"] - x) * (b["x"] - x) + (b["y"] - y) * (b["y"] - y))
+        dist = away(a["x"][:, None], a["y"][:, None])
+        for x, y in at:
+            np.minimum(dist, away(x, y)[None], out=dist)
+        return pd.DataFrame({"f": a["id"], "cost": (dist * b["pop"]).sum(axis=1)})
+
+    at: list[tuple[float, float]] = []
     for step in range(1, p + 1):
-        cost = best.join(F.broadcast(c), F.lit(True)).groupBy("f").agg(F.sum(F.col("pop") * F.least("m", dist)).alias("cost"))
+        # added up in a fixed order, so that candidates of one place tie
+        cost = over_pairs(c, d, weigh, f"f {kind}, cost double").groupBy("f").agg(F.aggregate(F.sort_array(F.collect_list("cost")), F.lit(0.0), lambda x, y: x + y).alias("cost"))
         top = cost.where(~F.col("f").isin([r[1] for r in rows]) if rows else F.lit(True)).orderBy("cost", "f").first()
         if top is None:
             break
         rows.append((step, top["f"], float(top["cost"])))
-        one = c.where(F.col("f") == top["f"])
-        best = stored(best.join(F.broadcast(one), F.lit(True)).select("i", "pop", "dx", "dy", F.least("m", dist).alias("m")), "median")
-    return candidates.sparkSession.createDataFrame(rows, "step int, id long, cost double")
+        one = candidates.where(F.col("id") == top["f"]).first()
+        at.append((float(one["x"]), float(one["y"])))
+    return candidates.sparkSession.createDataFrame(rows, f"step int, id {kind}, cost double")
 
 
 def assign_to_nearest(candidates: DataFrame, demand: DataFrame) -> DataFrame:
