@@ -18,6 +18,9 @@ from urbanloom.core.spatial_join import nearest, range_join
 from urbanloom.core.tables import stored
 from urbanloom.session import ship
 
+#: Points that are sent to all tasks at most, and pairs that a task weighs at once.
+SENT, BLOCK = 1_000_000, 500_000
+
 
 def _reach(df: DataFrame, bandwidth: float) -> float:
     return bandwidth * math.sqrt(2 * (math.log(max(df.count(), 2)) + 37))
@@ -109,38 +112,80 @@ def gwr_summary(fitted: DataFrame, terms: int) -> DataFrame:
 def gwlr(df: DataFrame, y: str, xs: list[str], bandwidth: float, kernel: str = "fixed_gaussian", max_iter: int = 50, tol: float = 1e-5) -> DataFrame:
     """(id, probability, beta_<term>, se_<term>): a local logistic regression at each point; y is 0 or 1.
 
-    A point's neighbours make one group, which its rounds of reweighting go over.
+    With a fixed kernel up to SENT points are sent to all tasks, which weigh those of the nine cells about a point as they go;
+    no pair is written. Beyond that, and with an adaptive kernel, a point's neighbours make one group, which its rounds of
+    reweighting go over.
     """
-    terms = ["intercept", *xs]
+    terms, spark = ["intercept", *xs], df.sparkSession
     kind = df.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, probability double" + "".join(f", `beta_{t}` double, `se_{t}` double" for t in terms)
+    ship(spark)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(pdf)), *(pdf[c].to_numpy(float) for c in xs)])
-        v, k = pdf[y].to_numpy(float), pdf["k"].to_numpy(float)
-        beta = np.zeros(x.shape[1])
+    def fit(x, v, k, own):
+        """A row for each row of weights ``k`` over the points (x, v), of the terms ``own`` at its own place."""
+        q = x.shape[1]
+        xx = (x[:, :, None] * x[:, None, :]).reshape(len(x), q * q)
+        beta, todo = np.zeros((len(k), q)), np.arange(len(k))
 
-        def at(b):
-            eta = np.clip(x @ b, -30, 30)
+        def at(b, k):
+            eta = np.clip(b @ x.T, -30, 30)
             p = np.clip(1 / (1 + np.exp(-eta)), 1e-9, 1 - 1e-9)
             return eta, p, k * p * (1 - p)
 
         for _ in range(max_iter):
-            eta, p, weight = at(beta)
-            new = np.linalg.pinv((x.T * weight) @ x) @ (x.T * weight) @ (eta + (v - p) / (p * (1 - p)))
-            moved = np.abs(new - beta).max()
-            beta = new
-            if moved < tol:
+            own_k = k[todo] if len(todo) < len(k) else k
+            eta, p, weight = at(beta[todo], own_k)
+            new = (np.linalg.pinv((weight @ xx).reshape(-1, q, q)) @ ((weight * eta + own_k * (v - p)) @ x)[:, :, None])[:, :, 0]
+            moved = np.abs(new - beta[todo]).max(axis=1)
+            beta[todo] = new
+            todo = todo[moved >= tol]
+            if not len(todo):
                 break
-        cov = np.linalg.pinv((x.T * at(beta)[2]) @ x)
-        own = x[(pdf["j"] == pdf["i"]).to_numpy()][0]
-        se = np.sqrt(np.maximum(0, np.diagonal(cov)))
-        row = {"id": pdf["i"].iloc[0], "probability": 1 / (1 + math.exp(-float(np.clip(own @ beta, -30, 30))))}
+        se = np.sqrt(np.maximum(0, np.diagonal(np.linalg.pinv((at(beta, k)[2] @ xx).reshape(-1, q, q)), axis1=1, axis2=2)))
+        out = {"probability": 1 / (1 + np.exp(-np.clip((own * beta).sum(axis=1), -30, 30)))}
         for n, t in enumerate(terms):
-            row |= {f"beta_{t}": beta[n], f"se_{t}": se[n]}
-        return pd.DataFrame([row])
+            out |= {f"beta_{t}": beta[:, n], f"se_{t}": se[:, n]}
+        return out
+
+    matrix = lambda pdf: np.column_stack([np.ones(len(pdf)), *(pdf[c].to_numpy(float) for c in xs)])
+    if kernel in ("fixed_gaussian", "fixed_bisquare") and df.count() <= SENT:
+        h, gauss = max(1e-9, bandwidth), kernel == "fixed_gaussian"
+        reach = _reach(df, h) if gauss else h
+        rows = stored(df.where("x is not null and y is not null").select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(y).cast("double").alias("_v"), *(F.col(c).cast("double").alias(f"_x{n}") for n, c in enumerate(xs))), "points")
+        names = ["x", "y", "_v", *(f"_x{n}" for n in range(len(xs)))]
+        # in a fixed order, whatever the tasks do
+        points = rows.select("id", *names).toArrow().sort_by([("id", "ascending")]).to_pandas()[names].to_numpy(float)
+        cell = np.floor(points[:, :2] / reach).astype(np.int64)
+        order = np.lexsort((cell[:, 1], cell[:, 0]))
+        points, cell = points[order], cell[order]
+        first = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(axis=1))[: len(cell)]).tolist()
+        where = {(int(cell[i, 0]), int(cell[i, 1])): (i, j) for i, j in zip(first, [*first[1:], len(cell)])}
+        sent = spark.sparkContext.broadcast((points, where))
+
+        def run(batches):
+            points, where = sent.value
+            for pdf in batches:
+                at = np.floor(pdf[["x", "y"]].to_numpy(float) / reach).astype(np.int64)
+                for (cx, cy), own in pdf.groupby([at[:, 0], at[:, 1]], sort=False):
+                    near = np.concatenate([points[slice(*where[c])] for i in (-1, 0, 1) for j in (-1, 0, 1) if (c := (cx + i, cy + j)) in where])
+                    x = np.column_stack([np.ones(len(near)), near[:, 3:]])
+                    for k in range(0, len(own), step := max(1, BLOCK // len(near))):
+                        part = own.iloc[k : k + step]
+                        dx, dy = (part[c].to_numpy(float)[:, None] - near[None, :, n] for n, c in enumerate("xy"))
+                        d = np.sqrt(dx * dx + dy * dy)
+                        u = d / h
+                        w = np.exp(-0.5 * u * u) if gauss else (1 - u * u) ** 2
+                        w[d > reach] = 0.0
+                        yield pd.DataFrame({"id": part["id"].to_numpy()} | fit(x, near[:, 2], w, np.column_stack([np.ones(len(part)), part[names[3:]].to_numpy(float)])))
+
+        tasks = max(1, min(200, 4 * spark.sparkContext.defaultParallelism))
+        return rows.repartition(tasks, F.xxhash64("id")).mapInPandas(run, schema)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = matrix(pdf)
+        own = x[(pdf["j"] == pdf["i"]).to_numpy()][:1]
+        return pd.DataFrame({"id": pdf["i"].iloc[:1].to_numpy()} | fit(x, pdf[y].to_numpy(float), pdf["k"].to_numpy(float)[None], own))
 
-    schema = f"id {kind}, probability double" + "".join(f", `beta_{t}` double, `se_{t}` double" for t in terms)
-    ship(df.sparkSession)
     return kernel_pairs(df, kernel, bandwidth, [y, *xs]).groupBy("i").applyInPandas(solve, schema)
 
 
