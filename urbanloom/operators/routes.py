@@ -14,9 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.core.graph import components
 from urbanloom.core.paths import ARCS, Network, dependencies, dijkstra, each, network, pruned
 from urbanloom.core.regions import Regions, regions
 from urbanloom.core.tables import stored
+from urbanloom.session import ship
 
 
 class NetworkTooLarge(ValueError):
@@ -195,16 +197,93 @@ def angular_centrality(lines: DataFrame, radius: float = 800.0, metric: bool = F
 
     A turn costs its angle (of the lines, without direction) over 90 degrees. Choice counts the pairs of others whose
     least cost a segment lies on; within the radius of cost, or of straight distance between the middles (``metric``).
+
+    Connected parts of up to TOGETHER segments are worked out whole in a task, larger ones by tables of all pairs.
     """
     v = lines.select("id", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).withColumn("len", F.expr("sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))"))
     v = v.select("id", F.expr("(x0 + x1) / 2").alias("x"), F.expr("(y0 + y1) / 2").alias("y"), F.expr("case when len > 0 then (x1 - x0) / len else 1D end").alias("ux"), F.expr("case when len > 0 then (y1 - y0) / len else 0D end").alias("uy"), F.explode(F.array(F.struct(F.round("x0", 6).alias("px"), F.round("y0", 6).alias("py")), F.struct(F.round("x1", 6).alias("px"), F.round("y1", 6).alias("py")))).alias("p"))
     v = stored(v, "ends")
     other = v.select("p", F.col("id").alias("dst"), F.col("ux").alias("wx"), F.col("uy").alias("wy"))
     dot = F.least(F.abs(F.expr("ux * wx + uy * wy")), F.lit(1.0))
-    arcs = v.withColumnRenamed("id", "src").join(other, "p").where("src <> dst").groupBy("src", "dst").agg(F.min(F.degrees(F.acos(dot)) / 90).alias("cost"))
+    arcs = v.withColumnRenamed("id", "src").join(other, "p").where("src <> dst").groupBy("src", "dst").agg(F.min(F.degrees(F.acos(dot)) / 90).alias("cost")).where("cost is not null")
+    middles = v.select(F.col("id").alias("node"), "x", "y").distinct()
+    if v.schema["id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return _angular_by_joins(arcs, middles, radius, metric)
+    arcs, middles = stored(arcs, "turns"), stored(middles, "middles")
+    parts = stored(middles.join(components(arcs, "src", "dst"), "node", "left").select("node", "x", "y", F.coalesce("component", F.col("node").cast("long")).alias("part")), "parts")
+    sizes = stored(parts.groupBy("part").agg(F.count("*").alias("n")), "sizes")
+    small, large = sizes.where(F.col("n") <= TOGETHER), sizes.where(F.col("n") > TOGETHER)
+    own = parts.join(small, "part")
+    links = stored(arcs.join(own.select(F.col("node").alias("src"), "part"), "src"), "links")
+    kind = v.schema["id"].dataType.simpleString()
+    # small parts go together, so that a group isn't a few segments
+    group = F.pmod(F.xxhash64("part"), F.lit(max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // TOGETHER)))
+
+    def run(pdf, links):
+        rows = [_angular_part(own.reset_index(drop=True), links_of.get(part, links.iloc[:0]), radius, metric) for links_of in [dict(tuple(links.groupby("part")))] for part, own in pdf.groupby("part")]
+        return pd.concat(rows, ignore_index=True) if rows else pd.DataFrame(columns=["id", "nc", "td", "far", "choice"])
+
+    ship(v.sparkSession)
+    found = own.withColumn("g", group).groupBy("g").cogroup(links.withColumn("g", group).groupBy("g")).applyInPandas(run, f"id {kind}, nc double, td double, far double, choice long")
+    out = _angular_rows(found)
+    if large.isEmpty():
+        return out
+    rest = parts.join(large, "part", "left_semi")
+    return out.unionByName(_angular_by_joins(arcs.join(rest.select(F.col("node").alias("src")), "src", "left_semi"), rest.select("node", "x", "y"), radius, metric))
+
+
+#: Segments of a connected part whose costs of all pairs a task holds at once; larger parts go by joins.
+TOGETHER = 1000
+
+
+def _angular_part(own: pd.DataFrame, links: pd.DataFrame, radius: float, metric: bool) -> pd.DataFrame:
+    """(id, nc, td, far, choice) of one connected part of segments (node, x, y) and its turns (src, dst, cost)."""
+    ids = own["node"].to_numpy()
+    order = np.argsort(ids)
+    at = lambda c: order[np.searchsorted(ids, links[c].to_numpy(), sorter=order)]
+    n, src, dst, cost = len(ids), at("src"), at("dst"), links["cost"].to_numpy(float)
+    by = np.lexsort((src, dst))
+    src, dst, cost = src[by], dst[by], cost[by]
+    begin = np.flatnonzero(np.append(True, dst[1:] != dst[:-1])[: len(dst)])
+    d = np.full((n, n), np.inf)
+    np.fill_diagonal(d, 0.0)
+    while len(dst):
+        # every cost from a source, one turn on
+        least = d.copy()
+        for i in range(0, n, step := max(1, 2_000_000 // len(dst))):
+            least[i : i + step, dst[begin]] = np.minimum(least[i : i + step, dst[begin]], np.minimum.reduceat(d[i : i + step, src] + cost, begin, axis=1))
+        if (least == d).all():
+            break
+        d = least
+    reached = np.isfinite(d)
+    if metric:
+        x, y = own["x"].to_numpy(float), own["y"].to_numpy(float)
+        near = reached & (np.sqrt((x[:, None] - x) * (x[:, None] - x) + (y[:, None] - y) * (y[:, None] - y)) <= radius)
+    else:
+        near = d <= radius
+    known = np.where(reached, d, 0.0)
+    pairs = reached & (d > 0) & (ids[:, None] < ids[None, :])
+    tol = 1e-8 + 1e-5 * np.abs(known)
+    choice = np.zeros(n, int)
+    for a in range(0, n, step := max(1, 2_000_000 // (n * n))):
+        # pairs that have segment k on a least way, but not as an end
+        k = np.arange(a, min(a + step, n))
+        on = pairs & (np.abs(d[:, k].T[:, :, None] + d[k][:, None, :] - known) <= tol)
+        on[k - a, k] = False
+        on[k - a, :, k] = False
+        choice[k] = on.sum(axis=(1, 2))
+    return pd.DataFrame({"id": ids, "nc": near.sum(axis=1).astype(float), "td": np.where(near, known, 0.0).sum(axis=1), "far": known.sum(axis=1), "choice": choice})
+
+
+def _angular_rows(found: DataFrame) -> DataFrame:
+    some = F.col("nc") > 1
+    return found.select("id", F.when(some, 1 / F.greatest(F.col("td") / (F.col("nc") - 1), F.lit(1e-9))).otherwise(F.lit(0.0)).alias("integration"), "choice", F.when(some, F.pow("nc", F.lit(1.2)) / (F.col("td") + 2)).otherwise(F.lit(0.0)).alias("nain"), (F.ln(F.col("choice") + 1.0) / F.ln(F.col("far") + 3)).alias("nach"))
+
+
+def _angular_by_joins(arcs: DataFrame, middles: DataFrame, radius: float, metric: bool) -> DataFrame:
+    """The same by tables of all pairs, whatever the size of a part."""
     from urbanloom.core.graph import shortest
 
-    middles = v.select(F.col("id").alias("node"), "x", "y").distinct()
     d = stored(shortest(arcs, middles.select("node"), directed=True), "turns")
     near = d.where(F.col("dist") <= radius)
     if metric:
@@ -218,8 +297,7 @@ def angular_centrality(lines: DataFrame, radius: float = 800.0, metric: bool = F
     on = sv.join(vt, "v").join(st, ["s", "t"]).where("v <> s and v <> t").where(F.abs(F.col("sv") + F.col("vt") - F.col("st")) <= 1e-8 + 1e-5 * F.abs("st"))
     c = on.groupBy(F.col("v").alias("id")).agg(F.count("*").alias("choice"))
     out = middles.select(F.col("node").alias("id")).join(s, "id", "left").join(whole, "id", "left").join(c, "id", "left").na.fill(0, ["choice"])
-    some = F.col("nc") > 1
-    return out.select("id", F.when(some, 1 / F.greatest(F.col("td") / (F.col("nc") - 1), F.lit(1e-9))).otherwise(F.lit(0.0)).alias("integration"), "choice", F.when(some, F.pow("nc", F.lit(1.2)) / (F.col("td") + 2)).otherwise(F.lit(0.0)).alias("nain"), (F.ln(F.col("choice") + 1.0) / F.ln(F.col("far") + 3)).alias("nach"))
+    return _angular_rows(out)
 
 
 def nearest_usage(edges: DataFrame, origins: DataFrame, destinations: DataFrame) -> DataFrame:
