@@ -95,7 +95,7 @@ query("micro_hubs", lambda p: hub(p)[0], P, sql=f"WITH {_hub} SELECT demand, sit
 query("micro_hub_summary", lambda p: hub(p)[1], P, sql=f"WITH {_hub} SELECT {R('sum(cost * w)')} AS km, {R('avg((cost <= 2)::INT)')} AS in_reach FROM n")
 stores = lambda f: f.selectExpr("id AS site", "supply * 100 AS capacity")
 query("capacitated_assign", lambda a, f: siting.capacitated(near(a, f), stores(f), people(a), 4.0)[0], "areas", "facilities")
-query("capacitated_loads", lambda p: siting.capacitated(within(p, 800.0), sites(p).selectExpr("id AS site", "500D AS capacity"), asked(p), by_demand=True)[1], P)
+query("capacitated_loads", lambda p: siting.capacitated_within(sites(p).selectExpr("*", "500D AS capacity"), places(p, 5000, "s AS w"), 800.0)[1], P)
 query("capacitated_siting", lambda a, f: siting.capacitated_siting(near(a, f), stores(f), people(a), 2)[1], "areas", "facilities")
 pairs = lambda f: f.selectExpr("id AS a").crossJoin(f.selectExpr("id AS b")).where("a < b").selectExpr("a * 100 + b AS set", "explode(array(a, b)) AS site")
 query("site_trade_off", lambda a, f: siting.site_trade_off(near(a, f).where("cost <= 2.5"), people(a), pairs(f)), "areas", "facilities", sql=f"""
