@@ -20,6 +20,8 @@ from urbanloom.session import ship
 
 #: Points that are sent to all tasks at most, and pairs that a task weighs at once.
 SENT, BLOCK = 1_000_000, 500_000
+#: Pairs that are worked on at once, and the score below which the logistic curve isn't clipped.
+CACHED, CLIPPED = 65_536, 20.0
 
 
 def _reach(df: DataFrame, bandwidth: float) -> float:
@@ -126,22 +128,40 @@ def gwlr(df: DataFrame, y: str, xs: list[str], bandwidth: float, kernel: str = "
         q = x.shape[1]
         xx = (x[:, :, None] * x[:, None, :]).reshape(len(x), q * q)
         beta, todo = np.zeros((len(k), q)), np.arange(len(k))
-
-        def at(b, k):
-            eta = np.clip(b @ x.T, -30, 30)
-            p = np.clip(1 / (1 + np.exp(-eta)), 1e-9, 1 - 1e-9)
-            return eta, p, k * p * (1 - p)
+        most, kv = np.abs(x).max(axis=0, initial=0.0), (k * v) @ x
+
+        def at(b, k, kv):
+            """The weighted squares of the terms, and what they are solved for."""
+            if not (np.abs(b) @ most < CLIPPED).all():
+                eta = np.clip(b @ x.T, -30, 30)
+                p = np.clip(1 / (1 + np.exp(-eta)), 1e-9, 1 - 1e-9)
+                weight = k * p * (1 - p)
+                return (weight @ xx).reshape(-1, q, q), (weight * eta + k * (v - p)) @ x
+            # nothing to clip: the same in fewer passes, over as many points as stay in the cache
+            squares, given, step = np.zeros((len(b), q * q)), np.zeros((len(b), q)), max(1, CACHED // len(b))
+            for n in range(0, len(x), step):
+                own = slice(n, n + step)
+                p = -b @ x[own].T
+                np.exp(p, out=p)
+                p += 1
+                np.reciprocal(p, out=p)
+                kp = k[:, own] * p
+                given += kp @ x[own]
+                p -= 1
+                p *= kp
+                squares -= p @ xx[own]
+            squares = squares.reshape(-1, q, q)
+            return squares, (squares @ b[:, :, None])[:, :, 0] + kv - given
 
         for _ in range(max_iter):
-            own_k = k[todo] if len(todo) < len(k) else k
-            eta, p, weight = at(beta[todo], own_k)
-            new = (np.linalg.pinv((weight @ xx).reshape(-1, q, q)) @ ((weight * eta + own_k * (v - p)) @ x)[:, :, None])[:, :, 0]
+            squares, aim = at(beta[todo], *((k[todo], kv[todo]) if len(todo) < len(k) else (k, kv)))
+            new = (np.linalg.pinv(squares) @ aim[:, :, None])[:, :, 0]
             moved = np.abs(new - beta[todo]).max(axis=1)
             beta[todo] = new
             todo = todo[moved >= tol]
             if not len(todo):
                 break
-        se = np.sqrt(np.maximum(0, np.diagonal(np.linalg.pinv((at(beta, k)[2] @ xx).reshape(-1, q, q)), axis1=1, axis2=2)))
+        se = np.sqrt(np.maximum(0, np.diagonal(np.linalg.pinv(at(beta, k, kv)[0]), axis1=1, axis2=2)))
         out = {"probability": 1 / (1 + np.exp(-np.clip((own * beta).sum(axis=1), -30, 30)))}
         for n, t in enumerate(terms):
             out |= {f"beta_{t}": beta[:, n], f"se_{t}": se[:, n]}
@@ -171,11 +191,16 @@ def gwlr(df: DataFrame, y: str, xs: list[str], bandwidth: float, kernel: str = "
                     x = np.column_stack([np.ones(len(near)), near[:, 3:]])
                     for k in range(0, len(own), step := max(1, BLOCK // len(near))):
                         part = own.iloc[k : k + step]
-                        dx, dy = (part[c].to_numpy(float)[:, None] - near[None, :, n] for n, c in enumerate("xy"))
-                        d = np.sqrt(dx * dx + dy * dy)
-                        u = d / h
-                        w = np.exp(-0.5 * u * u) if gauss else (1 - u * u) ** 2
-                        w[d > reach] = 0.0
+                        w, at_x, at_y = np.empty((len(part), len(near))), *(part[c].to_numpy(float)[:, None] for c in "xy")
+                        for n in range(0, len(near), cut := max(1, CACHED // len(part))):
+                            u, dy = at_x - near[n : n + cut, 0], at_y - near[n : n + cut, 1]
+                            u *= u
+                            dy *= dy
+                            u += dy
+                            far = u > reach * reach
+                            u /= h * h
+                            w[:, n : n + cut] = np.exp(np.multiply(u, -0.5, out=u), out=u) if gauss else (1 - u) ** 2
+                            w[:, n : n + cut][far] = 0.0
                         yield pd.DataFrame({"id": part["id"].to_numpy()} | fit(x, near[:, 2], w, np.column_stack([np.ones(len(part)), part[names[3:]].to_numpy(float)])))
 
         tasks = max(1, min(200, 4 * spark.sparkContext.defaultParallelism))
